@@ -12,6 +12,35 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hmm import score
+
+    return score(documents(spark, sf_dir), F.col("doc_id"), F.col("text"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated
+
+    return contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .host_quality import judge
+
+    judged = judge(documents(spark, sf_dir), F.col("source"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "verdict")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_runs import dedup
+
+    return dedup(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_hist import encoded_lengths, histogram
     from .tokens import default_vocabulary
