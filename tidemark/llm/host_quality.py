@@ -28,7 +28,7 @@ from .common import materialise
 #: The symbols that the contract counts.
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
-MEASURES = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
+MEASURES = "doc_id long, host string, h long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 
 
 @dataclass(frozen=True)
@@ -47,7 +47,7 @@ class Limits:
 
 
 def measures(docs: DataFrame, host: Column) -> DataFrame:
-    """One row for each document: the counts that the rules need."""
+    """One row for each document: the counts that the rules need, and h, a hash of its text."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -61,7 +61,7 @@ def measures(docs: DataFrame, host: Column) -> DataFrame:
         inner[128:192] = 1  # bytes within a code point
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
-            for _, _, w in slices(batch.column(2)):
+            for _, _, w in slices(batch.column(3)):
                 b, first, h = w.bounds, w.first, w.hashes()
                 n = np.diff(first)
                 # code points in words: bytes in words, less bytes within a code point
@@ -77,9 +77,9 @@ def measures(docs: DataFrame, host: Column) -> DataFrame:
                 out[4].append(repeat)
                 out[5].append(lines)
             counts = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *counts], names=[f.split(" ")[0] for f in MEASURES.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *counts], names=[f.split(" ")[0] for f in MEASURES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.cast("string").alias("host"), F.col("text").cast("binary").alias("t")).mapInArrow(run, MEASURES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.cast("string").alias("host"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("t")).mapInArrow(run, MEASURES)
 
 
 def _repeats(h, first, windows):

@@ -41,6 +41,25 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymise
+
+    out = pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), "tidemark-example-key").where(F.size("found") > 0)
+    return out.select("doc_id", F.size("found").cast("long").alias("n_values"), F.transform("found", lambda x: x["kind"]).alias("kinds"), F.transform("found", lambda x: x["new"]).alias("pseudonyms"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    return scan(documents(spark, sf_dir))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import dedup
+
+    return dedup(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_hist import encoded_lengths, histogram
     from .tokens import default_vocabulary
@@ -56,6 +75,12 @@ def op9_pack_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .partenum import link
+
+    return link(documents(spark, sf_dir), F.col("doc_id"), F.col("text")).drop("h")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
