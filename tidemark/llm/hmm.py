@@ -36,7 +36,7 @@ class Shape:
     states: int = 4
     own: int = 4096  # words with a class of their own
     endings: int = 1024  # classes of the other words
-    looked_up: int = 262_144  # words whose counts every scoring task holds
+    looked_up: int = 131_072  # words, at most, whose counts every scoring task holds
     rounds: int = 4
     stay: float = 0.9  # first guess of the chance to stay in a state
     smooth: float = 20.0  # tokens' worth of corpus frequencies mixed into each state's emissions
@@ -85,16 +85,16 @@ def _ending_class(data, starts, ends, shape: Shape):
 class Lexicon:
     """The looked-up words, commonest first: hashes, counts, classes."""
 
-    def __init__(self, words: list[bytes], counts: list[int], shape: Shape):
+    def __init__(self, words, counts, shape: Shape):
+        """words: a binary Arrow array; counts: a numpy array."""
         import numpy as np
-        import pyarrow as pa
 
         from .words import slices
 
         self.shape = shape
-        h = np.concatenate([w.hashes() for _, _, w in slices(pa.array(words, pa.binary()), fold=True)] or [np.zeros(0, np.uint64)])
+        h = np.concatenate([w.hashes() for _, _, w in slices(words, fold=True)] or [np.zeros(0, np.uint64)])
         order = np.argsort(h)
-        self.hash, self.count, self.rank = h[order], np.array(counts, np.int64)[order], order
+        self.hash, self.count, self.rank = h[order], counts[order], order
 
     def find(self, w, which, h):
         """(class, count or -1 where not looked up) of some words of w."""
@@ -322,6 +322,31 @@ def _class_totals(counts: DataFrame, lexicon, shape: Shape):
     return tokens, np.log10(shares)
 
 
+def commonest(counts: DataFrame, most: int):
+    """(words, counts), commonest first, of at most `most` words: all above a count that a histogram of logarithms gives.
+
+    Every task sends only words that are in the result, so no more than `most`
+    rows reach the driver, as Arrow columns.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    octave = F.floor(F.log2("c") * 16).cast("int")
+    sizes = dict(counts.groupBy(octave.alias("o")).count().collect())  # under a thousand rows
+    least, total = None, 0
+    for o in sorted(sizes, reverse=True):
+        total += sizes[o]
+        if total > most:
+            break
+        least = o
+    if least is None:
+        return pa.array([], pa.binary()), np.zeros(0, np.int64)
+    t = counts.where(octave >= least).select("word", "c").toArrow()
+    t = t.take(pc.sort_indices(t, [("c", "descending"), ("word", "ascending")])).combine_chunks()
+    return t["word"].combine_chunks(), t["c"].to_numpy()
+
+
 def score(docs: DataFrame, doc_id: Column, text: Column, shape: Shape = Shape()) -> DataFrame:
     """Learns from the rows not held out and scores all.
 
@@ -333,8 +358,7 @@ def score(docs: DataFrame, doc_id: Column, text: Column, shape: Shape = Shape())
     counts = materialise(word_counts(source.where(~F.col("held_out"))), "word-counts")
     words, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     ends = source.where(~F.col("held_out")).count()
-    top = counts.orderBy(F.col("c").desc(), "word").limit(shape.looked_up).collect()  # a fixed number of rows
-    lexicon = sc.broadcast(Lexicon([bytes(r[0]) for r in top], [r[1] for r in top], shape))
+    lexicon = sc.broadcast(Lexicon(*commonest(counts, shape.looked_up), shape))
     class_counts, log_shares = _class_totals(counts, lexicon, shape)
     class_counts[-1] = ends
     encoded = materialise(encode(source, lexicon, shape), "encoded")
