@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules() -> list:
-    return []
+    from . import model_queries, panel_queries, pit_queries
+
+    return [pit_queries, panel_queries, model_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
