@@ -169,8 +169,22 @@ def signatures(features, similar: Similar):
     return np.concatenate(out)
 
 
+SKETCH = 256  # bytes: the features' sums in as many buckets, modulo 256
+
+
+def _sketches(features, bounds, docs: int) -> list[bytes]:
+    import numpy as np
+
+    from .words import mix
+
+    at = np.repeat(np.arange(docs), np.diff(bounds)) * SKETCH + (features >> np.uint64(56)).astype(np.int64)
+    sums = np.bincount(at, weights=(mix(features) & np.uint64(0xFF)).astype(np.float64), minlength=docs * SKETCH)
+    flat = (sums.astype(np.int64) & 0xFF).astype(np.uint8).tobytes()
+    return [flat[k * SKETCH : (k + 1) * SKETCH] for k in range(docs)]
+
+
 def class_table(docs: DataFrame, similar: Similar) -> DataFrame:
-    """doc_id, n_shingles, c1, c2 and a text hash for each row; small rows, no texts."""
+    """doc_id, h (the text's hash), n, c1, c2, sketch of each row; no texts."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -182,13 +196,16 @@ def class_table(docs: DataFrame, similar: Similar) -> DataFrame:
             for lo, hi, w in slices(batch.column(2), fold=True):
                 features, bounds = _sets(w, similar.words)
                 c1, c2 = _class_hashes(features, bounds)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(c1), pa.array(c2)], names=["doc_id", "h", "n", "c1", "c2"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(c1), pa.array(c2), pa.array(_sketches(features, bounds, hi - lo), pa.binary())], names=["doc_id", "h", "n", "c1", "c2", "sketch"])
 
-    return docs.select("doc_id", "h", "t").mapInArrow(run, "doc_id long, h long, n long, c1 long, c2 long")
+    return docs.select("doc_id", "h", "t").mapInArrow(run, "doc_id long, h long, n long, c1 long, c2 long, sketch binary")
 
 
 def signed(docs: DataFrame, similar: Similar) -> DataFrame:
-    """sig, c1, c2, n over all rows; a task signs each class once while it remembers it."""
+    """sig, c (the first half of a class's hash) over all rows; a task signs each class once while it remembers it.
+
+    Should two classes agree in c, each stands for both: a pair more to verify, none lost.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -214,83 +231,76 @@ def signed(docs: DataFrame, similar: Similar) -> DataFrame:
                     s, who = np.concatenate(sigs).view(np.int64), np.concatenate(who)
                     for a in range(0, len(s), 200_000):
                         b = a + 200_000
-                        yield pa.RecordBatch.from_arrays([pa.array(s[a:b]), pa.array(c1[who[a:b]]), pa.array(c2[who[a:b]])], names=["sig", "c1", "c2"])
+                        yield pa.RecordBatch.from_arrays([pa.array(s[a:b]), pa.array(c1[who[a:b]])], names=["sig", "c"])
 
-    return docs.select("doc_id", "h", "t").mapInArrow(run, "sig long, c1 long, c2 long")
+    return docs.select("doc_id", "h", "t").mapInArrow(run, "sig long, c long")
 
 
 def shared(sigs: DataFrame) -> DataFrame:
-    """sig, c1, c2, l1, l2 (the signature's first class) of signatures with several classes; streams over sorted rows."""
+    """sig, c of signatures with several classes, each once; streams over sorted rows."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        held = None  # the last row of what came before, its leader and whether it is out already
+        held = None  # the last row of what came before, and whether its signature has several already
         for batch in batches:
-            cols = [batch.column(k).to_numpy() for k in range(3)]
-            if not len(cols[0]):
+            sig, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(sig):
                 continue
             if held is not None:
-                cols = [np.concatenate(([held[0][k]], cols[k])) for k in range(3)]
-            sig, c1, c2 = cols
+                sig, c = np.concatenate(([held[0]], sig)), np.concatenate(([held[1]], c))
             new = np.ones(len(sig), bool)
             new[1:] = sig[1:] != sig[:-1]
-            first = np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))
-            l1, l2 = c1[first], c2[first]
-            skip = np.zeros(len(sig), bool)
-            if held is not None:
-                with_held = first == 0
-                l1, l2 = np.where(with_held, held[1][0], l1), np.where(with_held, held[1][1], l2)
-                skip[0] = held[2]
-            again = np.zeros(len(sig), bool)
-            again[1:] = ~new[1:] & ((c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1]))
             same = np.zeros(len(sig), bool)  # a row that repeats the one before
-            same[1:] = ~new[1:] & ~again[1:]
-            size = np.bincount(first, weights=~same, minlength=len(sig))
-            several = (size[first] > 1) | (skip[0] & (first == 0))
-            out = several & ~same & ~skip
-            # the last group may go on: its rows are out if it has several, else its row is held
-            last = first[-1]
-            out_last = bool(several[-1])
+            same[1:] = ~new[1:] & (c[1:] == c[:-1])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))
+            several = np.bincount(first, weights=~same, minlength=len(sig))[first] > 1
+            out = several & ~same
+            if held is not None and held[2]:
+                several |= first == 0
+                out |= (first == 0) & ~same
+                out[0] = False  # out already
+            # the last signature may go on: its row is held, and out if it has several
             if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (sig, c1, c2, l1, l2)], names=["sig", "c1", "c2", "l1", "l2"])
-            held = ((sig[-1], c1[-1], c2[-1]), (l1[last], l2[last]), out_last)
+                yield pa.RecordBatch.from_arrays([pa.array(sig[out]), pa.array(c[out])], names=["sig", "c"])
+            held = (sig[-1], c[-1], bool(several[-1]))
 
     spark = sigs.sparkSession
-    return sigs.repartition(shuffle_tasks(spark), "sig").sortWithinPartitions("sig", "c1", "c2").mapInArrow(run, "sig long, c1 long, c2 long, l1 long, l2 long")
+    return sigs.repartition(shuffle_tasks(spark), "sig").sortWithinPartitions("sig", "c").mapInArrow(run, "sig long, c long")
 
 
-SKETCH = 256
+SENT = 200_000  # class names sent to every task at most; beyond, texts are shuffled to them
 
 
-def set_table(classes: DataFrame, docs: DataFrame, similar: Similar) -> DataFrame:
-    """c1, c2, s (features), sketch (a byte for each of 256 feature buckets) of some classes, from each one's first text."""
-    wanted = classes.select(F.col("rep.doc_id").alias("w_id"), F.col("rep.h").alias("w_h"), "c1", "c2")
+def set_table(names: DataFrame, classes: DataFrame, docs: DataFrame, similar: Similar) -> DataFrame:
+    """c1, c2, s (features) of the named classes, from each one's first text."""
+    wanted = names.join(classes, ["c1", "c2"]).select(F.col("rep.doc_id").alias("w_id"), F.col("rep.h").alias("w_h"), "c1", "c2")
+    wanted = materialise(wanted, "wanted")
+    if wanted.count() <= SENT:
+        wanted = F.broadcast(wanted)
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h"))).select("c1", "c2", "t")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        from .words import mix, slices
+        from .words import slices
 
         for batch in batches:
             for lo, hi, w in slices(batch.column(2), fold=True):
                 f, bounds = _sets(w, similar.words)
-                at = np.repeat(np.arange(hi - lo), np.diff(bounds)) * SKETCH + (f >> np.uint64(56)).astype(np.int64)
-                sums = np.bincount(at, weights=(mix(f) & np.uint64(0xFF)).astype(np.float64), minlength=(hi - lo) * SKETCH)
-                sketch = (sums.astype(np.int64) & 0xFF).astype(np.uint8).tobytes()
                 sets = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((8 * bounds).astype(np.int32).tobytes()), pa.py_buffer(f.tobytes())])
-                rows = pa.array([sketch[k * SKETCH : (k + 1) * SKETCH] for k in range(hi - lo)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), sets, rows], names=["c1", "c2", "s", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), sets], names=["c1", "c2", "s"])
 
-    # a repeated row would give its class twice
-    return texts.mapInArrow(run, "c1 long, c2 long, s binary, sketch binary").dropDuplicates(["c1", "c2"])
+    return texts.mapInArrow(run, "c1 long, c2 long, s binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similar: Similar) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similar: Similar) -> DataFrame:
     """The pairs (a1, a2, b1, b2) whose whole sets are similar enough."""
+    pairs = materialise(pairs, "pairs")
+    names = pairs.select(F.col("a1").alias("c1"), F.col("a2").alias("c2")).unionByName(pairs.select(F.col("b1").alias("c1"), F.col("b2").alias("c2"))).distinct()
+    sets = materialise(set_table(names, classes, docs, similar), "sets")
     left = sets.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("s").alias("sa"))
     right = sets.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("s").alias("sb"))
 
@@ -309,12 +319,34 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: Similar) -> DataFrame:
                 hit[k] = 100 * common >= similar.percent * (both - common)
             yield batch.select([0, 1, 2, 3]).filter(pa.array(hit))
 
-    # sizes alone rule out many pairs before their sets travel further
-    sizes = (F.octet_length("sa") * 100 >= F.octet_length("sb") * similar.percent) & (F.octet_length("sb") * 100 >= F.octet_length("sa") * similar.percent)
-    joined = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).where(sizes)
+    joined = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"])
     return joined.select("a1", "a2", "b1", "b2", "sa", "sb").mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
 
 
+def star_pairs(members: DataFrame, nodes: DataFrame, similar: Similar) -> DataFrame:
+    """Each signature's classes with its first one, where sizes and sketches allow a link."""
+    lead = members.groupBy("sig").agg(F.min("c").alias("l"))
+    stars = members.join(lead, "sig").where("c <> l").select("c", "l").distinct()
+    sizes = nodes.select(F.col("c1").alias("c"), F.col("n").alias("n_c")).distinct()
+    pairs = stars.join(sizes, "c").join(sizes.select(F.col("c").alias("l"), F.col("n_c").alias("n_l")), "l")
+    pairs = pairs.where((100 * F.col("n_c") >= similar.percent * F.col("n_l")) & (100 * F.col("n_l") >= similar.percent * F.col("n_c"))).select("c", "l").distinct()
+    side = lambda x, y, m, k: nodes.select(F.col("c1").alias(x), F.col("c2").alias(y), F.col("n").alias(m), F.col("sketch").alias(k))
+    both = pairs.withColumnsRenamed({"l": "a1", "c": "b1"}).join(side("a1", "a2", "n_a", "k_a"), "a1").join(side("b1", "b2", "n_b", "k_b"), "b1")
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH) for k in (6, 7))
+            apart = (a != b).sum(1)
+            n = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            near = apart * (100 + similar.percent) <= (100 - similar.percent) * n
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(near))
+
+    return both.select("a1", "a2", "b1", "b2", "n_a", "n_b", "k_a", "k_b").mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
+
+
 def _pairs_within(similar: Similar, hub: bool):
     """Pairs of a signature's rows in different components that can be similar enough, by sketch.
 
@@ -353,16 +385,19 @@ def _pairs_within(similar: Similar, hub: bool):
 
 
 def open_pairs(members: DataFrame, comps: DataFrame, nodes: DataFrame, similar: Similar, hub: bool) -> DataFrame:
-    """Pairs to verify among signatures whose rows are still in several components, in blocks of bounded size."""
-    at = members.join(comps, ["c1", "c2"], "left").withColumn("comp", F.coalesce("comp", F.xxhash64("c1", "c2")))
+    """Pairs to verify among signatures whose rows are still in several components, in blocks of bounded size.
+
+    comps: c, comp, one row a name c (names that several classes share are left out, so count as open).
+    """
+    at = members.join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     still = at.groupBy("sig").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    at = at.join(still, "sig").withColumn("side", F.pmod(F.xxhash64("c1", "c2"), F.col("blocks")).cast("int"))
+    at = at.join(still, "sig").withColumn("side", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     if hub:
         at = at.withColumn("i", F.col("side")).withColumn("j", F.col("side"))
     else:
         both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("side")).alias("i"), F.greatest(k, F.col("side")).alias("j")))
         at = at.withColumn("ij", F.explode(both)).select("*", "ij.i", "ij.j").drop("ij")
-    at = at.join(nodes.select("c1", "c2", "n", "sketch"), ["c1", "c2"])
+    at = at.join(nodes.select(F.col("c1").alias("c"), "c1", "c2", "n", "sketch"), "c")
     return at.groupBy("sig", "i", "j").applyInArrow(_pairs_within(similar, hub), "a1 long, a2 long, b1 long, b2 long").distinct()
 
 
@@ -396,18 +431,16 @@ def link(docs: DataFrame, doc_id: Column, text: Column, similar: Similar = Simil
     source = docs.select(doc_id.cast("long").alias("doc_id"), F.xxhash64(content).alias("h"), content.cast("binary").alias("t"))
     rows = materialise(class_table(source, similar), "classes")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
-    classes = materialise(rows.where("n > 0").groupBy("c1", "c2").agg(least.alias("rep"), F.first("n").alias("n")), "class-reps")
+    classes = materialise(rows.where("n > 0").groupBy("c1", "c2").agg(least.alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "class-reps")
+    rows = rows.drop("sketch")
     members = materialise(shared(signed(source, similar)), "shared-signatures")
-    used = classes.join(members.select("c1", "c2").distinct(), ["c1", "c2"])
-    sets = materialise(set_table(used, source, similar), "sets")
-    nodes = sets.join(classes, ["c1", "c2"]).select("c1", "c2", "n", "sketch")
-    stars = members.select(F.col("l1").alias("a1"), F.col("l2").alias("a2"), F.col("c1").alias("b1"), F.col("c2").alias("b2")).where("a1 <> b1 or a2 <> b2").distinct()
+    nodes = classes.select("c1", "c2", "n", "sketch")
     path = scratch(spark, "links")
-    verified(stars, sets, similar).write.parquet(path)
+    verified(star_pairs(members, nodes, similar), classes, source, similar).write.parquet(path)
     labelled = _labelled(spark, path, classes)
     for hub in (True, False):
-        comps = labelled.select("v.c1", "v.c2", F.xxhash64("comp").alias("comp"))
-        verified(open_pairs(members, comps, nodes, similar, hub), sets, similar).write.mode("append").parquet(path)
+        comps = labelled.groupBy(F.col("v.c1").alias("c")).agg(F.max(F.xxhash64("comp")).alias("comp"), F.count(F.lit(1)).alias("k")).where("k = 1").drop("k")
+        verified(open_pairs(members, comps, nodes, similar, hub), classes, source, similar).write.mode("append").parquet(path)
         labelled = _labelled(spark, path, classes)
     owners = labelled.select("v.c1", "v.c2", F.col("comp.doc_id").alias("owner"))
     out = rows.join(classes.select("c1", "c2", F.col("rep.doc_id").alias("first_id")), ["c1", "c2"], "left").join(owners, ["c1", "c2"], "left")
