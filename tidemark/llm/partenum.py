@@ -296,9 +296,11 @@ def set_table(names: DataFrame, classes: DataFrame, docs: DataFrame, similar: Si
     return texts.mapInArrow(run, "c1 long, c2 long, s binary")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similar: Similar) -> DataFrame:
-    """The pairs (a1, a2, b1, b2) whose whole sets are similar enough."""
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similar: Similar) -> DataFrame | None:
+    """The pairs (a1, a2, b1, b2) whose whole sets are similar enough; None if there are no pairs."""
     pairs = materialise(pairs, "pairs")
+    if not pairs.take(1):
+        return None
     names = pairs.select(F.col("a1").alias("c1"), F.col("a2").alias("c2")).unionByName(pairs.select(F.col("b1").alias("c1"), F.col("b2").alias("c2"))).distinct()
     sets = materialise(set_table(names, classes, docs, similar), "sets")
     left = sets.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("s").alias("sa"))
@@ -436,22 +438,31 @@ def link(docs: DataFrame, doc_id: Column, text: Column, similar: Similar = Simil
     members = materialise(shared(signed(source, similar)), "shared-signatures")
     nodes = classes.select("c1", "c2", "n", "sketch")
     path = scratch(spark, "links")
-    verified(star_pairs(members, nodes, similar), classes, source, similar).write.parquet(path)
+    links = verified(star_pairs(members, nodes, similar), classes, source, similar)
+    (links if links is not None else _no_links(spark)).write.parquet(path)
     labelled = _labelled(spark, path, classes)
     for hub in (True, False):
         comps = labelled.groupBy(F.col("v.c1").alias("c")).agg(F.max(F.xxhash64("comp")).alias("comp"), F.count(F.lit(1)).alias("k")).where("k = 1").drop("k")
-        verified(open_pairs(members, comps, nodes, similar, hub), classes, source, similar).write.mode("append").parquet(path)
-        labelled = _labelled(spark, path, classes)
+        links = verified(open_pairs(members, comps, nodes, similar, hub), classes, source, similar)
+        if links is not None:
+            before = spark.read.parquet(path).count()
+            links.write.mode("append").parquet(path)
+            if spark.read.parquet(path).count() > before:
+                labelled = _labelled(spark, path, classes)
     owners = labelled.select("v.c1", "v.c2", F.col("comp.doc_id").alias("owner"))
     out = rows.join(classes.select("c1", "c2", F.col("rep.doc_id").alias("first_id")), ["c1", "c2"], "left").join(owners, ["c1", "c2"], "left")
     return out.select("doc_id", "h", F.col("n").alias("n_shingles"), F.coalesce("owner", "first_id", "doc_id").alias("component_id"))
 
 
+def _no_links(spark) -> DataFrame:
+    return spark.createDataFrame([], "a1 long, a2 long, b1 long, b2 long")
+
+
 def _labelled(spark, path: str, classes: DataFrame) -> DataFrame:
     """v, comp: component labels of the classes with links; a label orders by its smallest doc_id."""
-    links = spark.read.schema("a1 long, a2 long, b1 long, b2 long").parquet(path)
+    found = spark.read.schema("a1 long, a2 long, b1 long, b2 long").parquet(path)
     name = F.struct(F.col("rep.none").alias("none"), F.col("rep.doc_id").alias("doc_id"), "c1", "c2")
     names = classes.select(F.col("c1"), F.col("c2"), name.alias("v"))
     a = names.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("v").alias("a"))
     b = names.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("v").alias("b"))
-    return components(links.distinct().join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("a", "b"))
+    return components(found.distinct().join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("a", "b"))
