@@ -110,7 +110,7 @@ def price_identity(panel: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     before = F.lag("close").over(Window.partitionBy("security_id").orderBy("m"))
-    want = before * (1 + F.col("total_return")) / F.col("split")
+    want = F.col("_b") * (1 + F.col("total_return")) / F.col("split")
     return panel.withColumn("_b", before).where(F.col("_b").isNotNull() & (F.abs(F.col("close") - want) > 1e-9 * F.abs(want))).drop("_b")
 
 
