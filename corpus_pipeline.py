@@ -18,9 +18,9 @@ from tidemark.llm.tokens import default_vocabulary
 
 def _only(docs: DataFrame, keep: DataFrame) -> DataFrame:
     """The rows of docs that keep names by doc_id and text hash."""
-    keep = keep.select(F.col("doc_id").alias("k_id"), F.col("h").alias("k_h")).distinct()
+    keep = keep.select(F.col("doc_id").alias("_cp_id"), F.col("h").alias("_cp_h")).distinct()
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.xxhash64(text) == F.col("k_h")), "left_semi")
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_cp_id")) & (F.xxhash64(text) == F.col("_cp_h")), "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +43,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    hits = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("hit")).distinct()
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("hit")), "left_anti")
+    hits = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_cp_hit")).distinct()
+    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_cp_hit")), "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

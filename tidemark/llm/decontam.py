@@ -42,6 +42,11 @@ def with_shingles(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn(out, shingles(F.col(text)))
 
 
+def _name(item: str) -> Column:
+    """An item's id as text, for sets, which drop nulls."""
+    return F.coalesce(F.col(item).cast("string"), F.lit("none"))
+
+
 def _sent(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -66,9 +71,9 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
     words = with_shingles(source, "text", "s").select("doc_id", F.explode("s").alias("h"))
     hits = words.join(_sent(sketch, n_sketch), "h").groupBy("doc_id", "item_id", "need").agg(F.count_distinct("h").alias("n"))
     candidates = materialise(hits.where(F.col("n") >= F.col("need")).select("doc_id", "item_id"), "candidates")
-    wanted = candidates.groupBy(F.col("doc_id").alias("c_id")).agg(F.collect_set("item_id").alias("wanted"))
+    wanted = candidates.groupBy(F.col("doc_id").alias("c_id")).agg(F.collect_set(_name("item_id")).alias("wanted"))
     again = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("c_id")))
     again = with_shingles(again, "text", "s").select("doc_id", "wanted", F.explode("s").alias("h"))
     full = table.select("item_id", "q", F.explode("s").alias("h"))
-    shared = again.join(_sent(full, n_all), "h").where(F.array_contains("wanted", F.col("item_id"))).groupBy("doc_id", "item_id", "q").agg(F.count_distinct("h").alias("shared"))
+    shared = again.join(_sent(full, n_all), "h").where(F.array_contains("wanted", _name("item_id"))).groupBy("doc_id", "item_id", "q").agg(F.count_distinct("h").alias("shared"))
     return shared.where(100 * F.col("shared") >= percent * F.col("q")).select("doc_id", "item_id", F.col("q").cast("long").alias("item_shingles"), "shared")

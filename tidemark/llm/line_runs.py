@@ -13,7 +13,8 @@ that holds it.
 Defined cases: a null or empty text is one empty line; keys shorter than the
 limit are never dropped; rows that repeat a doc_id count as documents each and
 share its fate; a null doc_id owns a line only if no other document has it; an
-empty table gives no rows; other columns pass through.
+empty table gives no rows; other columns pass through, but for any named n_lines
+or n_dropped, which the counts replace.
 """
 
 from __future__ import annotations
@@ -138,17 +139,17 @@ def dedup(docs: DataFrame, batches: int = 3, min_chars: int = MIN_CHARS, min_doc
     spread = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     lines = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     gone = lines.join(spread, ["k1", "k2", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("owner")))
-    by_doc = gone.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set(F.struct("k1", "k2")).alias("gone"))
-    joined = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
+    by_doc = gone.groupBy(F.col("doc_id").alias("_ld_id")).agg(F.collect_set(F.struct("k1", "k2")).alias("_ld_gone"))
+    joined = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_ld_id")), "left")
     text = F.coalesce(F.col("text"), F.lit(""))
     all_lines = F.split(text, "\n", -1)
-    first = F.transform(F.col("gone"), lambda g: g["k1"])
+    first = F.transform(F.col("_ld_gone"), lambda g: g["k1"])
 
     def stays(line: Column) -> Column:
         key = _hash(line_key(ascii_lower(line)))
-        return ~(F.array_contains(F.col("gone_k1"), key["k1"]) & F.array_contains(F.col("gone"), key))
+        return ~(F.array_contains(F.col("_ld_k1"), key["k1"]) & F.array_contains(F.col("_ld_gone"), key))
 
-    joined = joined.withColumns({"gone_k1": first, "n_lines": F.size(all_lines).cast("long")})
-    kept = F.when(F.col("gone").isNotNull(), F.filter(all_lines, lambda x: (F.length(x) < min_chars) | stays(x)))
-    out = joined.withColumn("kept", kept)
-    return out.withColumns({"n_dropped": F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("kept")).cast("long"), "text": F.when(F.col("gone").isNull(), text).otherwise(F.array_join("kept", "\n"))}).drop("gone", "gone_k1", "gone_id", "kept")
+    joined = joined.withColumns({"_ld_k1": first, "n_lines": F.size(all_lines).cast("long")})
+    kept = F.when(F.col("_ld_gone").isNotNull(), F.filter(all_lines, lambda x: (F.length(x) < min_chars) | stays(x)))
+    out = joined.withColumn("_ld_kept", kept)
+    return out.withColumns({"n_dropped": F.when(F.col("_ld_gone").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("_ld_kept")).cast("long"), "text": F.when(F.col("_ld_gone").isNull(), text).otherwise(F.array_join("_ld_kept", "\n"))}).drop("_ld_gone", "_ld_k1", "_ld_id", "_ld_kept")

@@ -10,7 +10,7 @@ values stay different, and every pseudonym is valid in its format again.
 Defined cases: null text stays null and has no values; invalid look-alikes stay
 as they are; repeated values, rows and ties get the same pseudonym each time; a
 null doc_id passes through; an empty table gives no rows; other columns pass
-through.
+through, but for one named found, which the findings replace.
 """
 
 from __future__ import annotations
@@ -200,12 +200,12 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     found = F.when(has, F.transform(F.regexp_extract_all(F.col(text), F.lit(ANY), 0), lambda v: pseudonym(v, k)))
     # found is the input of a second projection that names it several times: filter() keeps it evaluated once
     found = once(found, lambda f: f)
-    staged = docs.withColumn("found_all", found)
+    staged = docs.withColumn("_pii_all", found)
 
     def rebuilt(f: Column) -> Column:
         pieces = F.split(F.col(text), ANY, -1)
         new = F.transform(f, lambda x: F.coalesce(x["new"], x["old"]))
         return F.array_join(F.flatten(F.zip_with(pieces, new, lambda p, n: F.array(p, F.coalesce(n, F.lit(""))))), "")
 
-    both = once(F.col("found_all"), lambda f: F.struct(F.filter(f, lambda x: x["new"].isNotNull()).alias("found"), F.when(f.isNotNull(), rebuilt(f)).otherwise(F.col(text)).alias("text")))
-    return staged.withColumn("both", both).withColumn(text, F.col("both.text")).withColumn("found", F.coalesce(F.col("both.found"), F.array().cast("array<struct<old:string,kind:string,new:string>>"))).drop("both", "found_all")
+    both = once(F.col("_pii_all"), lambda f: F.struct(F.filter(f, lambda x: x["new"].isNotNull()).alias("found"), F.when(f.isNotNull(), rebuilt(f)).otherwise(F.col(text)).alias("text")))
+    return staged.withColumn("_pii_both", both).withColumn(text, F.col("_pii_both.text")).withColumn("found", F.coalesce(F.col("_pii_both.found"), F.array().cast("array<struct<old:string,kind:string,new:string>>"))).drop("_pii_both", "_pii_all")
