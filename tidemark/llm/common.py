@@ -57,6 +57,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialise() wrote and nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        delete_path(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+def release(spark: SparkSession) -> None:
+    """Ask the driver to let go of shuffles that no DataFrame needs any more, so that their files are deleted now."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only. Texts without other characters take the byte path of lower()."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -40,7 +40,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch, shuffle_tasks
+from .common import discard, materialise, release, scratch, shuffle_tasks
 
 BLOCK = 1_000  # rows of a signature compared in one block
 
@@ -169,7 +169,7 @@ def signatures(features, similar: Similar):
     return np.concatenate(out)
 
 
-SKETCH = 256  # bytes: the features' sums in as many buckets, modulo 256
+BUCKETS, SKETCH = 256, 64  # a sketch: the features' sums in 256 buckets modulo 4, in 64 bytes
 
 
 def _sketches(features, bounds, docs: int) -> list[bytes]:
@@ -177,12 +177,27 @@ def _sketches(features, bounds, docs: int) -> list[bytes]:
 
     from .words import mix
 
-    at = np.repeat(np.arange(docs), np.diff(bounds)) * SKETCH + (features >> np.uint64(56)).astype(np.int64)
-    sums = np.bincount(at, weights=(mix(features) & np.uint64(0xFF)).astype(np.float64), minlength=docs * SKETCH)
-    flat = (sums.astype(np.int64) & 0xFF).astype(np.uint8).tobytes()
+    at = np.repeat(np.arange(docs), np.diff(bounds)) * BUCKETS + (features >> np.uint64(56)).astype(np.int64)
+    sums = np.bincount(at, weights=(mix(features) & np.uint64(0xFF)).astype(np.float64), minlength=docs * BUCKETS)
+    two = (sums.astype(np.int64) & 3).astype(np.uint8).reshape(-1, SKETCH, 4)
+    flat = (two[..., 0] | (two[..., 1] << 2) | (two[..., 2] << 4) | (two[..., 3] << 6)).astype(np.uint8).tobytes()
     return [flat[k * SKETCH : (k + 1) * SKETCH] for k in range(docs)]
 
 
+def _read_sketches(column):
+    import numpy as np
+
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH // 8)
+
+
+def _apart(a, b):
+    """Buckets in which sketches differ: no more than the features in which the sets do."""
+    import numpy as np
+
+    x = a ^ b
+    return np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(-1, dtype=np.int64)
+
+
 def class_table(docs: DataFrame, similar: Similar) -> DataFrame:
     """doc_id, h (the text's hash), n, c1, c2, sketch of each row; no texts."""
 
@@ -237,37 +252,44 @@ def signed(docs: DataFrame, similar: Similar) -> DataFrame:
 
 
 def shared(sigs: DataFrame) -> DataFrame:
-    """sig, c of signatures with several classes, each once; streams over sorted rows."""
+    """sig, c, l, k of signatures with several classes, each class once; streams over sorted rows.
+
+    l: the signature's first class; k: the row's place among its classes, 2 standing for all from there on.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        held = None  # the last row of what came before, and whether its signature has several already
+        held = None  # the last row of what came before: sig, c, its leader, its place
         for batch in batches:
             sig, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if not len(sig):
                 continue
+            lead, place = c[0], 0
             if held is not None:
                 sig, c = np.concatenate(([held[0]], sig)), np.concatenate(([held[1]], c))
-            new = np.ones(len(sig), bool)
+                lead, place = held[2], held[3]
+            n = len(sig)
+            new = np.ones(n, bool)
             new[1:] = sig[1:] != sig[:-1]
-            same = np.zeros(len(sig), bool)  # a row that repeats the one before
-            same[1:] = ~new[1:] & (c[1:] == c[:-1])
-            first = np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))
-            several = np.bincount(first, weights=~same, minlength=len(sig))[first] > 1
-            out = several & ~same
-            if held is not None and held[2]:
-                several |= first == 0
-                out |= (first == 0) & ~same
-                out[0] = False  # out already
-            # the last signature may go on: its row is held, and out if it has several
+            fresh = new.copy()  # not a repeat of the row before
+            fresh[1:] |= c[1:] != c[:-1]
+            first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            count = np.cumsum(fresh)
+            k = count - count[first] + np.where(first == 0, place, 0)
+            l = np.where(first == 0, lead, c[first])
+            last_place = np.zeros(n, np.int64)
+            np.maximum.at(last_place, first, k)
+            out = fresh & (last_place[first] > 0)
+            if held is not None:
+                out[0] = held[3] == 0 and last_place[0] > 0  # a later place was put out with its own batch
             if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(sig[out]), pa.array(c[out])], names=["sig", "c"])
-            held = (sig[-1], c[-1], bool(several[-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(sig[out]), pa.array(c[out]), pa.array(l[out]), pa.array(np.minimum(k[out], 2), pa.int32())], names=["sig", "c", "l", "k"])
+            held = (sig[-1], c[-1], l[-1], int(k[-1]))
 
     spark = sigs.sparkSession
-    return sigs.repartition(shuffle_tasks(spark), "sig").sortWithinPartitions("sig", "c").mapInArrow(run, "sig long, c long")
+    return sigs.repartition(shuffle_tasks(spark), "sig").sortWithinPartitions("sig", "c").mapInArrow(run, "sig long, c long, l long, k int")
 
 
 SENT = 200_000  # class names sent to every task at most; beyond, texts are shuffled to them
@@ -297,7 +319,7 @@ def set_table(names: DataFrame, classes: DataFrame, docs: DataFrame, similar: Si
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similar: Similar) -> DataFrame | None:
-    """The pairs (a1, a2, b1, b2) whose whole sets are similar enough; None if there are no pairs."""
+    """The pairs (a1, a2, b1, b2) whose whole sets are similar enough, written; None if there are no pairs."""
     pairs = materialise(pairs, "pairs")
     if not pairs.take(1):
         return None
@@ -322,13 +344,15 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similar: Sim
             yield batch.select([0, 1, 2, 3]).filter(pa.array(hit))
 
     joined = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"])
-    return joined.select("a1", "a2", "b1", "b2", "sa", "sb").mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
+    links = materialise(joined.select("a1", "a2", "b1", "b2", "sa", "sb").mapInArrow(run, "a1 long, a2 long, b1 long, b2 long"), "verified")
+    discard(sets)
+    discard(pairs)
+    return links
 
 
 def star_pairs(members: DataFrame, nodes: DataFrame, similar: Similar) -> DataFrame:
     """Each signature's classes with its first one, where sizes and sketches allow a link."""
-    lead = members.groupBy("sig").agg(F.min("c").alias("l"))
-    stars = members.join(lead, "sig").where("c <> l").select("c", "l").distinct()
+    stars = members.where("c <> l").select("c", "l").distinct()
     sizes = nodes.select(F.col("c1").alias("c"), F.col("n").alias("n_c")).distinct()
     pairs = stars.join(sizes, "c").join(sizes.select(F.col("c").alias("l"), F.col("n_c").alias("n_l")), "l")
     pairs = pairs.where((100 * F.col("n_c") >= similar.percent * F.col("n_l")) & (100 * F.col("n_l") >= similar.percent * F.col("n_c"))).select("c", "l").distinct()
@@ -340,8 +364,7 @@ def star_pairs(members: DataFrame, nodes: DataFrame, similar: Similar) -> DataFr
         import pyarrow as pa
 
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH) for k in (6, 7))
-            apart = (a != b).sum(1)
+            apart = _apart(_read_sketches(batch.column(6)), _read_sketches(batch.column(7)))
             n = batch.column(4).to_numpy() + batch.column(5).to_numpy()
             near = apart * (100 + similar.percent) <= (100 - similar.percent) * n
             yield batch.select([0, 1, 2, 3]).filter(pa.array(near))
@@ -361,11 +384,13 @@ def _pairs_within(similar: Similar, hub: bool):
 
         n, comp = table.column("n").to_numpy(), table.column("comp").to_numpy()
         side, i, j = (table.column(k).to_numpy() for k in ("side", "i", "j"))
-        rows = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(n), SKETCH)
+        rows = _read_sketches(table.column("sketch"))
         a_out, b_out = [], []
         if hub:
-            flat = np.bincount((rows + np.arange(SKETCH) * 256).ravel(), minlength=SKETCH * 256).reshape(SKETCH, 256)
-            left = [int((rows == flat.argmax(1)).sum(1).argmax())]
+            each = rows.view(np.uint8).reshape(len(n), SKETCH, 1) >> np.array([0, 2, 4, 6], np.uint8) & 3
+            each = each.reshape(len(n), BUCKETS)
+            votes = np.stack([(each == v).sum(0) for v in range(4)])
+            left = [int((each == votes.argmax(0)).sum(1).argmax())]
             right = np.arange(len(n))
         else:
             left = np.flatnonzero(side == i).tolist()
@@ -373,7 +398,7 @@ def _pairs_within(similar: Similar, hub: bool):
         for a in left:
             others = right[right > a] if i[0] == j[0] and not hub else right
             others = others[comp[others] != comp[a]]
-            apart = (rows[others] != rows[a]).sum(1)
+            apart = _apart(rows[others], rows[a])
             others = others[apart * (100 + similar.percent) <= (100 - similar.percent) * (n[others] + n[a])]
             a_out.append(np.full(len(others), a))
             b_out.append(others)
@@ -436,14 +461,22 @@ def link(docs: DataFrame, doc_id: Column, text: Column, similar: Similar = Simil
     classes = materialise(rows.where("n > 0").groupBy("c1", "c2").agg(least.alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "class-reps")
     rows = rows.drop("sketch")
     members = materialise(shared(signed(source, similar)), "shared-signatures")
+    release(spark)
     nodes = classes.select("c1", "c2", "n", "sketch")
     path = scratch(spark, "links")
     links = verified(star_pairs(members, nodes, similar), classes, source, similar)
     (links if links is not None else _no_links(spark)).write.parquet(path)
     labelled = _labelled(spark, path, classes)
+    release(spark)
+    # a signature of two classes is settled: its only pair has been verified
+    more = members.where("k = 2").select("sig").distinct()
+    larger = materialise(members.select("sig", "c").join(more, "sig", "left_semi"), "larger-signatures")
+    discard(members)
+    release(spark)
     for hub in (True, False):
         comps = labelled.groupBy(F.col("v.c1").alias("c")).agg(F.max(F.xxhash64("comp")).alias("comp"), F.count(F.lit(1)).alias("k")).where("k = 1").drop("k")
-        links = verified(open_pairs(members, comps, nodes, similar, hub), classes, source, similar)
+        links = verified(open_pairs(larger, comps, nodes, similar, hub), classes, source, similar)
+        release(spark)
         if links is not None:
             before = spark.read.parquet(path).count()
             links.write.mode("append").parquet(path)
