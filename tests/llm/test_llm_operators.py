@@ -452,3 +452,15 @@ def test_null_ids_do_not_break(spark):
     assert license_scan.scan(df).count() == 0
     items = spark.createDataFrame([(None, "words that stand here more than once in")], "item_id long, text string")
     assert decontam.contaminated(df, items).count() == 2
+
+
+def test_equal_sets_are_one_class_wherever_they_stand():
+    import numpy as np
+
+    from tidemark.llm.partenum import _class_hashes
+
+    rng = np.random.default_rng(4)
+    a, b = (np.sort(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (50, 70))
+    one, two = _class_hashes(np.concatenate((a, b, a)), np.array([0, 50, 120, 170]))
+    assert one[0] == one[2] != one[1] and two[0] == two[2] != two[1]
+    assert _class_hashes(a, np.array([0, 50]))[0][0] == one[0]

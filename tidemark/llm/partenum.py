@@ -124,7 +124,8 @@ def _class_hashes(features, bounds):
 
     sums = []
     for k in (1, 2):
-        total = np.concatenate(([0], np.cumsum(mix(features + np.uint64(k)), dtype=np.uint64))).astype(np.uint64)
+        total = np.zeros(len(features) + 1, np.uint64)
+        np.cumsum(mix(features + np.uint64(k)), out=total[1:])
         sums.append(mix(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64))
     return sums
 
