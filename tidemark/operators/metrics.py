@@ -181,3 +181,55 @@ def leakage_audit(panel: DataFrame, by: list[str], feature: str, key: str, v: st
     g = xsec.ordinal(xsec.ordinal(both, [*by, feature], v, key, "_x"), [*by, feature], outcome, key, "_y")
     daily = g.groupBy(*by, feature).agg(F.count(F.lit(1)).alias("_n"), correlation("_x", "_y").alias("_ic")).where(F.col("_n") >= least)
     return daily.groupBy(feature).agg(F.avg(F.abs("_ic")).alias("mean_abs_ic")).withColumn("flagged", F.col("mean_abs_ic") > threshold)
+
+
+def latest_fit(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """One prediction a name and target: that of the latest fit."""
+    w = Window.partitionBy(*by).orderBy(*[F.col(c).desc() for c in order])
+    return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+
+
+def scoring_panel(predictions: DataFrame, outcomes: DataFrame, keys: list[str], complete: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(predictions of the latest fit with their outcomes; ledger of incomplete windows and missing outcomes)."""
+    j = latest_fit(predictions, keys, order).join(outcomes, keys, "left")
+    reason = F.when(~F.coalesce(F.col(complete), F.lit(False)), "incomplete_window").when(F.col("outcome").isNull(), "missing_outcome")
+    j = j.withColumn("reason", reason)
+    return j.where("reason is null").drop("reason"), j.where("reason is not null")
+
+
+def contribution(weights: DataFrame, returns: DataFrame, groups: DataFrame, name: str, order: str, group: str, terminal: str) -> DataFrame:
+    """Each group's sum of weight times compounded return; a name stops compounding after its terminal period."""
+    ended = F.max(F.col(terminal).cast("int")).over(Window.partitionBy(name).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    live = returns.withColumn("_e", F.coalesce(ended, F.lit(0))).where("_e = 0")
+    grown = live.groupBy(name).agg((F.product(1 + F.col("ret")) - 1).alias("_g"))
+    j = weights.join(grown, name).join(groups, name, "left").withColumn(group, F.coalesce(group, F.lit("UNMAPPED")))
+    return j.groupBy(group).agg(F.sum(F.col("weight") * F.col("_g")).alias("contribution"))
+
+
+def capacity(df: DataFrame, by: list[str], adv: str, one_way: str, cap: float) -> DataFrame:
+    """The least of cap * adv / one-way turnover over periods that trade."""
+    return df.where(F.col(one_way) > 0).groupBy(*by).agg(F.min(cap * F.col(adv) / F.col(one_way)).alias("capacity"))
+
+
+def configurations(trials: DataFrame, columns: list[str]) -> DataFrame:
+    """Trials and distinct configurations tried."""
+    return trials.agg(F.count(F.lit(1)).alias("trials"), F.count_distinct(F.struct(*columns)).alias("distinct_configurations"))
+
+
+def sensitivity(results: DataFrame, setting: str, value: str, base: str) -> DataFrame:
+    """Each setting's difference from the base one, and over all the worst and the spread."""
+    b = results.where(F.col(setting) == base).agg(F.first(value).alias("_b"))
+    every = Window.partitionBy()
+    out = results.crossJoin(F.broadcast(b)).withColumn("delta", F.col(value) - F.col("_b")).drop("_b")
+    return out.withColumn("worst", F.min("delta").over(every)).withColumn("spread", F.max(value).over(every) - F.min(value).over(every))
+
+
+def chain_breaks(ledger: DataFrame, by: list[str], order: str, tolerance: float) -> DataFrame:
+    """Periods that do not start at the value where the one before ended."""
+    ahead = F.lead("nav_start").over(Window.partitionBy(*by).orderBy(order))
+    return ledger.withColumn("_n", ahead).where(F.col("_n").isNotNull() & (F.abs(F.col("_n") - F.col("nav_end")) > tolerance)).drop("_n")
+
+
+def effect_steps(stages: DataFrame, stage_order: str, value: str) -> DataFrame:
+    """Telescoping effects: each stage's value less the one before; they add up to the last less the first."""
+    return stages.withColumn("effect", F.col(value) - F.lag(value).over(Window.orderBy(stage_order)))

@@ -54,9 +54,9 @@ def xsec_zscore_universe(spark, sf):
     return xsec.zscore_with_universe(df, ["m"], "close", "inside").select("m", "security_id", r6(F.col("z")).alias("z"))
 
 
-@book.add(f"WITH {MONTHLY}, q AS (SELECT m, quantile_cont(close, 0.05) AS lo, quantile_cont(close, 0.95) AS hi FROM monthly GROUP BY m) SELECT m, security_id, round(greatest(least(close, hi), lo), 7) AS w FROM monthly JOIN q USING (m)")
+@book.add(f"WITH {MONTHLY}, q AS (SELECT m, quantile_cont(close, 0.05) AS lo, quantile_cont(close, 0.95) AS hi FROM monthly GROUP BY m) SELECT m, security_id, round(greatest(least(close, hi), lo), 9) AS w FROM monthly JOIN q USING (m)")
 def xsec_winsorize(spark, sf):
-    return xsec.winsorize(monthly(spark, sf), ["m"], "close", 0.05, 0.95).select("m", "security_id", F.round("w", 7).alias("w"))
+    return xsec.winsorize(monthly(spark, sf), ["m"], "close", 0.05, 0.95).select("m", "security_id", F.round("w", 9).alias("w"))
 
 
 @book.add(f"WITH {MONTHLY} SELECT m, security_id, round(CASE WHEN count(*) OVER w = 1 THEN 0.5 ELSE (row_number() OVER (PARTITION BY m ORDER BY close, security_id) - 1) / (count(*) OVER w - 1) END, 6) AS pct FROM monthly WINDOW w AS (PARTITION BY m)")

@@ -49,12 +49,12 @@ def seeded_errors_found(spark, sf):
     return j.groupBy("error").agg(F.count("seeded").alias("seeded"), F.count("hit").alias("found"), F.sum((F.col("seeded").isNotNull() & F.col("hit").isNotNull()).cast("long")).alias("both"))
 
 
-@book.add(f"WITH {MONTHLY}, f AS (SELECT * FROM (VALUES ('USD', 'USD', 1.0), ('EUR', 'USD', 1.1)) t(b, q, r)), p AS (SELECT security_id, m, close, CASE security_id % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'GBP' END AS ccy FROM monthly) SELECT security_id, m, ccy, round(close * r, 6) AS usd FROM p LEFT JOIN f ON b = ccy")
+@book.add(f"WITH {MONTHLY}, f AS (SELECT * FROM (VALUES ('USD', 'USD', 1.0), ('EUR', 'USD', 1.1)) t(b, q, r)), p AS (SELECT security_id, m, close, CASE security_id % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'GBP' END AS ccy FROM monthly) SELECT security_id, m, ccy, round(close * r, 9) AS usd FROM p LEFT JOIN f ON b = ccy")
 def fx_conversion(spark, sf):
     p = monthly(spark, sf).withColumn("ccy", F.when(F.col("security_id") % 3 == 0, "USD").when(F.col("security_id") % 3 == 1, "EUR").otherwise("GBP")).withColumn("event_date", F.col("m")).withColumn("to", F.lit("USD"))
     fx = p.select("event_date").distinct().select("event_date", F.lit("EUR").alias("base_ccy"), F.lit("USD").alias("quote_ccy"), F.lit(1.1).alias("rate"))
     out = pit.exchange_rate(p, fx, "event_date", "ccy", "to")
-    return out.select("security_id", "m", "ccy", r6(F.col("close") * F.col("rate")).alias("usd"))
+    return out.select("security_id", "m", "ccy", F.round(F.col("close") * F.col("rate"), 9).alias("usd"))
 
 
 @book.add("""WITH a AS (SELECT user_id, event_type, ts, event_id, CAST(floor(value / 25) AS BIGINT) AS level FROM events WHERE ts < TIMESTAMP '2024-01-16'),
