@@ -170,33 +170,44 @@ def signatures(features, similar: Similar):
     return np.concatenate(out)
 
 
-BUCKETS, SKETCH = 256, 64  # a sketch: the features' sums in 256 buckets modulo 4, in 64 bytes
+LEAST_BUCKETS = 256
 
 
-def _sketches(features, bounds, docs: int) -> list[bytes]:
+def _sketch(features) -> bytes:
+    """A set's sketch: sums of its features modulo 4 in buckets by their top bits, a power of two of at least half its size."""
     import numpy as np
 
     from .words import mix
 
-    at = np.repeat(np.arange(docs), np.diff(bounds)) * BUCKETS + (features >> np.uint64(56)).astype(np.int64)
-    sums = np.bincount(at, weights=(mix(features) & np.uint64(0xFF)).astype(np.float64), minlength=docs * BUCKETS)
-    two = (sums.astype(np.int64) & 3).astype(np.uint8).reshape(-1, SKETCH, 4)
-    flat = (two[..., 0] | (two[..., 1] << 2) | (two[..., 2] << 4) | (two[..., 3] << 6)).astype(np.uint8).tobytes()
-    return [flat[k * SKETCH : (k + 1) * SKETCH] for k in range(docs)]
+    bits = max(LEAST_BUCKETS.bit_length() - 1, (max(1, len(features) // 2) - 1).bit_length())
+    at = (features >> np.uint64(64 - bits)).astype(np.int64)
+    sums = np.bincount(at, weights=(mix(features) & np.uint64(3)).astype(np.float64), minlength=1 << bits)
+    two = (sums.astype(np.int64) & 3).astype(np.uint8).reshape(-1, 4)
+    return (two << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8).tobytes()
+
+
+def _sketches(features, bounds, docs: int) -> list[bytes]:
+    return [_sketch(features[bounds[d] : bounds[d + 1]]) for d in range(docs)]
 
 
-def _read_sketches(column):
+def _buckets(sketch: bytes):
     import numpy as np
 
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH // 8)
+    return ((np.frombuffer(sketch, np.uint8)[:, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3).ravel()
 
 
-def _apart(a, b):
-    """Buckets in which sketches differ: no more than the features in which the sets do."""
-    import numpy as np
+def _folded(buckets, n: int):
+    """The same sketch over fewer buckets: neighbours add up."""
+    while len(buckets) > n:
+        buckets = buckets.reshape(-1, 2).sum(1, dtype=buckets.dtype) & 3
+    return buckets
+
 
-    x = a ^ b
-    return np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(-1, dtype=np.int64)
+def _apart(a: bytes, b: bytes) -> int:
+    """Buckets in which two sketches differ: no more than the features in which the sets do."""
+    x, y = _buckets(a), _buckets(b)
+    n = min(len(x), len(y))
+    return int((_folded(x, n) != _folded(y, n)).sum())
 
 
 def class_table(docs: DataFrame, similar: Similar) -> DataFrame:
@@ -365,7 +376,7 @@ def star_pairs(members: DataFrame, nodes: DataFrame, similar: Similar) -> DataFr
         import pyarrow as pa
 
         for batch in batches:
-            apart = _apart(_read_sketches(batch.column(6)), _read_sketches(batch.column(7)))
+            apart = np.array([_apart(a, b) for a, b in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist())], np.int64)
             n = batch.column(4).to_numpy() + batch.column(5).to_numpy()
             near = apart * (100 + similar.percent) <= (100 - similar.percent) * n
             yield batch.select([0, 1, 2, 3]).filter(pa.array(near))
@@ -385,13 +396,13 @@ def _pairs_within(similar: Similar, hub: bool):
 
         n, comp = table.column("n").to_numpy(), table.column("comp").to_numpy()
         side, i, j = (table.column(k).to_numpy() for k in ("side", "i", "j"))
-        rows = _read_sketches(table.column("sketch"))
+        each = [_buckets(x) for x in table.column("sketch").to_pylist()]
+        least = min(map(len, each))
+        rows = np.stack([_folded(x, least) for x in each])
         a_out, b_out = [], []
         if hub:
-            each = rows.view(np.uint8).reshape(len(n), SKETCH, 1) >> np.array([0, 2, 4, 6], np.uint8) & 3
-            each = each.reshape(len(n), BUCKETS)
-            votes = np.stack([(each == v).sum(0) for v in range(4)])
-            left = [int((each == votes.argmax(0)).sum(1).argmax())]
+            votes = np.stack([(rows == v).sum(0) for v in range(4)])
+            left = [int((rows == votes.argmax(0)).sum(1).argmax())]
             right = np.arange(len(n))
         else:
             left = np.flatnonzero(side == i).tolist()
@@ -399,7 +410,7 @@ def _pairs_within(similar: Similar, hub: bool):
         for a in left:
             others = right[right > a] if i[0] == j[0] and not hub else right
             others = others[comp[others] != comp[a]]
-            apart = _apart(rows[others], rows[a])
+            apart = (rows[others] != rows[a]).sum(1)
             others = others[apart * (100 + similar.percent) <= (100 - similar.percent) * (n[others] + n[a])]
             a_out.append(np.full(len(others), a))
             b_out.append(others)
