@@ -464,3 +464,17 @@ def test_equal_sets_are_one_class_wherever_they_stand():
     one, two = _class_hashes(np.concatenate((a, b, a)), np.array([0, 50, 120, 170]))
     assert one[0] == one[2] != one[1] and two[0] == two[2] != two[1]
     assert _class_hashes(a, np.array([0, 50]))[0][0] == one[0]
+
+
+def test_a_larger_set_drops_no_signature_that_its_smaller_partner_needs():
+    """Sizes on either side of a step of the spare partitions; the smaller set lies within the larger."""
+    import numpy as np
+
+    from tidemark.llm.partenum import Similar, signatures
+
+    similar, gen = Similar(), np.random.default_rng(5)
+    for small, large, pairs in ((30, 35, 8_000), (31, 36, 6_000), (32, 37, 2_000), (33, 38, 4_000), (123, 144, 500)):
+        assert 100 * small >= 85 * large and similar.spare(small) < similar.spare(large)
+        for _ in range(pairs):
+            a = gen.integers(0, 2**63, large, dtype=np.uint64)
+            assert len(np.intersect1d(signatures(np.sort(a), similar), signatures(np.sort(a[:small]), similar))), (small, large)

@@ -11,8 +11,9 @@ partner could need, and signs for the next band too if a partner can lie there.
 
 Signatures of fewer than two features are common by chance. Each set signs
 `spare` partitions more than it needs, and leaves such signatures out as long
-as they are no more than the spare ones; a pair so loses fewer signatures than
-it has to spare.
+as they are no more than the spare ones of the smallest set that it could meet
+in that band. A pair shares one signature more than the spare ones of its
+smaller set, so keeps at least one, whichever of the two leaves some out.
 
 Rows that share a signature are found by sorting on it and streaming over the
 sorted rows. Pairs then come in two rounds. First each row is paired with the
@@ -60,6 +61,9 @@ class Similar:
     def largest_partner(self, size: int) -> int:
         return 100 * size // self.percent
 
+    def smallest_partner(self, size: int) -> int:
+        return -(-self.percent * size // 100)
+
     def bands(self, size: int) -> list[int]:
         """The bands in which a set of that size signs."""
         b = self.band(size)
@@ -79,11 +83,14 @@ class Similar:
 
     def needed(self, size: int) -> int:
         """First-level partitions that a set of that size signs."""
-        apart = self.most_apart(size + self.largest_partner(size))
-        return apart // 2 + 1 + self.spare(apart // 2 + 1)
+        return self.least(size) + self.spare(size)
+
+    def least(self, size: int) -> int:
+        """Partitions of which one, at least, holds at most one difference from any partner."""
+        return self.most_apart(size + self.largest_partner(size)) // 2 + 1
 
-    @staticmethod
-    def spare(n: int) -> int:
+    def spare(self, size: int) -> int:
+        n = self.least(size)
         return 1 + n // 12 if n > 3 else 0
 
     def width(self, band: int) -> int:
@@ -165,7 +172,8 @@ def signatures(features, similar: Similar):
             weights.append(counts[:, i] + counts[:, j])
         found, weights = np.concatenate(found), np.concatenate(weights)
         weak = weights < 2
-        spare = similar.spare(similar.most_apart(size + similar.largest_partner(size)) // 2 + 1)
+        # partners in its own band may be smaller; the next band is signed for larger ones
+        spare = similar.spare(similar.smallest_partner(size) if band == similar.band(size) else size)
         out.append(found[~weak] if 0 < weak.sum() <= spare else found)
     return np.concatenate(out)
 
