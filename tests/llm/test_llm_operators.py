@@ -478,3 +478,29 @@ def test_a_larger_set_drops_no_signature_that_its_smaller_partner_needs():
         for _ in range(pairs):
             a = gen.integers(0, 2**63, large, dtype=np.uint64)
             assert len(np.intersect1d(signatures(np.sort(a), similar), signatures(np.sort(a[:small]), similar))), (small, large)
+
+
+def test_packing_of_many_empty_texts_ends(spark):
+    """One id each: more pieces wait than a tier holds back, and all of them are shorter than a sequence."""
+    import signal
+
+    from tidemark.llm.packing import _Packer, TIERS, pack
+    from tidemark.llm.tokens import default_vocabulary
+
+    def stuck(*_):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, stuck)
+    signal.alarm(20)
+    try:
+        packer = _Packer(0, TIERS, 65_536)
+        for d in range(700):
+            packer.add(d, b"\1\0\0\0")
+        packer.finish()
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+    assert sorted(r[0] for r in packer.rows) == list(range(700))
+    df = spark.range(600).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "").alias("text")).coalesce(1)
+    got = pack(df, default_vocabulary()).collect()
+    assert sorted(r.doc_id for r in got) == list(range(600)) and {r.length for r in got} == {1}

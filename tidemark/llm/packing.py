@@ -69,7 +69,8 @@ class _Packer:
                     return gap, doc, start, ids[: 4 * gap], total
         return None
 
-    def pack(self, tier: int) -> None:
+    def pack(self, tier: int) -> bool:
+        """Whether a sequence came of it: all that waits can be shorter than one."""
         pieces = [self.waiting[tier].pop()]
         gap = tier - pieces[0][0]
         while gap:
@@ -77,10 +78,11 @@ class _Packer:
             if piece is None:  # nothing else waits: back into the pool
                 for p in pieces:
                     self.route(p)
-                return
+                return False
             pieces.append(piece)
             gap -= piece[0]
         self.emit(pieces, tier)
+        return True
 
     def add(self, doc, ids: bytes) -> None:
         top, total = self.tiers[-1], len(ids) // 4
@@ -91,8 +93,8 @@ class _Packer:
         if start < total:
             self.route((total - start, doc, start, ids[4 * start :], total))
         for t in self.tiers:
-            while len(self.waiting[t]) > WAITING:
-                self.pack(t)
+            while len(self.waiting[t]) > WAITING and self.pack(t):
+                pass
 
     def finish(self) -> None:
         left = [p for t in reversed(self.tiers) for p in reversed(self.waiting[t])]
