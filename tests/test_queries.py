@@ -51,3 +51,12 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_every_month_gets_an_optimised_book(spark):
+    import __spark_entry__ as e
+
+    months = lambda name: {r[0] for r in e.queries()[name](spark, SF).select("m").distinct().collect()}
+    got = months("l3_portfolio")
+    assert got >= months("l2_portfolio") and len(got) > 6

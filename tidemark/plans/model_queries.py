@@ -197,8 +197,6 @@ def l2_capped(spark, sf):
 @book.add()
 def l3_portfolio(spark, sf):
     s = _scored(spark, sf).withColumn("var", F.lit(0.04)).join(F.broadcast(sectors(spark, sf)), "security_id")
-    last = s.agg(F.max("m").alias("top"))
-    s = s.crossJoin(F.broadcast(last)).where("m > top - 6")
     b = portfolio.level3(s, ["m"], "security_id", "score", 0.1, 2.0, groups=["sector"], group_net=0.1, variance="var")
     return b.select("m", "security_id", F.round("weight", 4).alias("weight"), "status")
 
