@@ -100,6 +100,22 @@ def test_seeded_errors_are_found_and_clean_data_passes(spark):
     assert quality.known_before_event(bad, "knowledge_time", "event_date").count() == want["inverted_timestamp"]
 
 
+def test_every_seeded_error_class_is_found(spark):
+    from tidemark.plans.run_queries import seeded_errors_found
+
+    got = {r.error: r for r in seeded_errors_found(spark, "").collect()}
+    assert set(got) == set(synth.ERRORS) and all(r.seeded == r.found == r.both > 0 for r in got.values())
+    clean = synth.bars(synth.generate(spark, synth.World(securities=20, months=60)))
+    bad, truth = synth.seed_errors(clean, ("stale_price",), 31)
+    key = ["security_id", "event_date"]
+    changed = bad.join(clean.withColumnRenamed("close", "was").select(*key, "was"), key).where("close <> was")
+    rows = lambda df: sorted(map(tuple, df.select(*key).collect()))
+    assert rows(changed) == rows(truth) and truth.count() > 0
+    assert quality.stale_runs(clean, ["security_id"], ["event_date"], "close", 2).count() == 0
+    runs = quality.stale_runs(bad, ["security_id"], ["event_date"], "close", 2).collect()
+    assert {r.run_length for r in runs} == {synth.FROZEN + 1} and synth.FROZEN * len(runs) == truth.count()
+
+
 def test_a_planted_signal_is_learnt_and_a_run_verifies(spark, tmp_path):
     panel = synth.generate(spark, synth.World(securities=30, months=48, signal=0.9, persistence=0.3, delist_share=0.0))
     e = experiment.Experiment(features=("exposure",), rounds=2, rule=FoldRule(train_steps=24, test_steps=20))

@@ -11,7 +11,7 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -107,8 +107,6 @@ def generate(spark: SparkSession, w: World) -> DataFrame:
 
 def price_identity(panel: DataFrame) -> DataFrame:
     """Rows whose close is not the one before, grown by the total return and split: must be none."""
-    from pyspark.sql import Window
-
     before = F.lag("close").over(Window.partitionBy("security_id").orderBy("m"))
     want = F.col("_b") * (1 + F.col("total_return")) / F.col("split")
     return panel.withColumn("_b", before).where(F.col("_b").isNotNull() & (F.abs(F.col("close") - want) > 1e-9 * F.abs(want))).drop("_b")
@@ -123,23 +121,36 @@ def bars(panel: DataFrame) -> DataFrame:
     return panel.select("security_id", F.col("month_end").alias("event_date"), "close", (F.col("shares") / 100).alias("volume"), (F.col("month_end").cast("timestamp_ntz") + F.expr("INTERVAL 21 HOURS")).alias("knowledge_time"))
 
 
+#: Bars after a stale price's first one that repeat its close.
+FROZEN = 5
+
+
 def seed_errors(clean: DataFrame, kinds: tuple[str, ...] = ERRORS, every: int = 97) -> tuple[DataFrame, DataFrame]:
-    """(bars with errors, the rows that were spoilt and how), chosen by a hash of the key."""
+    """(bars with errors, the rows that were spoilt and how), chosen by a hash of the key.
+
+    A stale price freezes the closes of the next FROZEN bars, and those are the
+    rows spoilt; it is seeded where that many follow and no other error is among
+    them.
+    """
+    w = Window.partitionBy("security_id").orderBy("event_date")
+    ahead, behind = w.rowsBetween(1, FROZEN), w.rowsBetween(-FROZEN, -1)
     pick = F.pmod(F.xxhash64("security_id", "event_date"), F.lit(every))
     kind = F.lit(None).cast("string")
     for k, name in enumerate(kinds):
         kind = F.when(pick == k, name).otherwise(kind)
-    d = clean.withColumn("_e", kind)
+    d = clean.withColumn("_k", kind).withColumn("_free", (F.count(F.lit(1)).over(ahead) == FROZEN) & (F.count("_k").over(ahead) == 0))
+    d = d.withColumn("_frozen", F.max(F.when((F.col("_k") == "stale_price") & F.col("_free"), F.col("close"))).over(behind))
+    d = d.withColumn("_e", F.when(F.col("_frozen").isNotNull(), "stale_price").when(F.col("_k") != "stale_price", F.col("_k"))).drop("_k", "_free")
     spoilt = d.withColumns(
         {
-            "close": F.when(F.col("_e") == "negative_price", -F.col("close")).when(F.col("_e") == "missing_mandatory", None).otherwise(F.col("close")),
+            "close": F.when(F.col("_e") == "stale_price", F.col("_frozen")).when(F.col("_e") == "negative_price", -F.col("close")).when(F.col("_e") == "missing_mandatory", None).otherwise(F.col("close")),
             "volume": F.when(F.col("_e") == "impossible_volume", -F.col("volume")).otherwise(F.col("volume")),
             "knowledge_time": F.when(F.col("_e") == "inverted_timestamp", F.col("knowledge_time") - F.expr("INTERVAL 40 DAYS")).otherwise(F.col("knowledge_time")),
         }
     )
     doubled = spoilt.unionByName(spoilt.where("_e = 'duplicate_bar'"))
     truth = d.where("_e is not null").select("security_id", "event_date", F.col("_e").alias("error"))
-    return doubled.drop("_e"), truth
+    return doubled.drop("_e", "_frozen"), truth
 
 
 def restated(panel: DataFrame, lag_days: int = 45, every: int = 4) -> DataFrame:

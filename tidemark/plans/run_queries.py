@@ -33,10 +33,12 @@ def synthetic_world(spark, sf):
 @book.add()
 def seeded_errors_found(spark, sf):
     """Every seeded error class against the checks that must find it."""
-    bars, truth = synth.seed_errors(synth.bars(synth.generate(spark, synth.SCENARIOS["baseline"])), tuple(k for k in synth.ERRORS if k != "stale_price"))
+    bars, truth = synth.seed_errors(synth.bars(synth.generate(spark, synth.SCENARIOS["baseline"])))
+    runs = quality.stale_runs(bars, ["security_id"], ["event_date"], "close", synth.FROZEN + 1)
     found = {
         "duplicate_bar": quality.duplicates(bars, ["security_id", "event_date"], ["close"]),
         "negative_price": quality.bad_prices(bars, ["close"]),
+        "stale_price": bars.join(runs, "security_id").where("event_date > run_start and event_date <= run_end"),
         "impossible_volume": quality.negative_volume(bars, "volume"),
         "missing_mandatory": quality.missing_mandatory(bars, ["close"]),
         "inverted_timestamp": quality.known_before_event(bars, "knowledge_time", "event_date"),
