@@ -60,3 +60,22 @@ def test_every_month_gets_an_optimised_book(spark):
     months = lambda name: {r[0] for r in e.queries()[name](spark, SF).select("m").distinct().collect()}
     got = months("l3_portfolio")
     assert got >= months("l2_portfolio") and len(got) > 6
+
+
+@pytest.mark.parametrize("tables", [SF, "/root/testdata/sf0.01"])
+def test_covariances_of_all_names(spark, tables):
+    """Every pair of names with two months in common, against the same sums in SQL."""
+    if not os.path.isdir(tables):
+        pytest.skip("needs the driver's tables")
+    import duckdb
+
+    import __spark_entry__ as e
+
+    con = duckdb.connect()
+    con.execute("SET timezone='UTC'")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tables}/lineitem.parquet'")
+    got, want = e.queries()["covariance_all"](spark, tables).toPandas(), con.execute(e.oracle_sql()["covariance_all"]).df()
+    one, two = ({(r.a, r.b): r["cov"] for _, r in x.iterrows()} for x in (got, want))
+    assert one.keys() == two.keys() and len(got) == len(want) and all(abs(one[k] - two[k]) < 2e-8 for k in one)
+    if tables != SF:
+        assert got["a"].nunique() > 21
