@@ -101,6 +101,39 @@ def test_optimiser():
         portfolio.optimise([1.0, 1.0], np.eye(2), [0.1, 0.1], [0.2, 0.2], [("net", np.ones(2))], [(0.0, 0.0)], 2.0)
 
 
+def test_optimiser_volatility_costs_and_borrow():
+    import numpy as np
+
+    free = ([], [], 10.0)
+    w = portfolio.optimise([3.0, 4.0], np.array([[0.04, 0.01], [0.01, 0.09]]), [-5] * 2, [5] * 2, *free, volatility=0.2)
+    c = np.array([[0.04, 0.01], [0.01, 0.09]])
+    best = np.linalg.solve(c, [3.0, 4.0])
+    assert np.allclose(w, best * 0.2 / np.sqrt(best @ c @ best), atol=1e-3)
+    with pytest.raises(portfolio.Infeasible, match="volatility"):
+        portfolio.optimise([1.0, 1.0], np.eye(2), [0.5] * 2, [1] * 2, *free, volatility=0.1)
+    # alpha - w - cost, held where the gain is less than the cost, short only beyond cost and borrow
+    w = portfolio.optimise([1.0, 0.55, -0.25, -1.0], np.eye(4), [-5] * 4, [5] * 4, *free, risk=1.0, held=[0.0, 0.5, 0.0, 0.0], cost=0.1, borrow=0.2)
+    assert np.allclose(w, [0.9, 0.5, 0.0, -0.7], atol=1e-4)
+    w = portfolio.optimise([-1.0, 0.25], np.eye(2), [-5] * 2, [5] * 2, *free, risk=1.0, held=[-0.75, -0.6], cost=0.1, borrow=0.2)
+    assert np.allclose(w, [-0.75, 0.15], atol=1e-4)
+
+
+def test_optimised_book_bounds(spark):
+    rows = [(0, f"n{i}", float(3 - i), 0.04, 50.0 if i == 0 else 1e6, i == 5) for i in range(7)] + [(1, "n0", 1.0, 0.04, None, False), (1, "n1", -1.0, 0.04, 1.0, False)]
+    df = spark.createDataFrame(rows, "d int, k string, s double, var double, adv double, htb boolean")
+    book = lambda **more: {(r.d, r.k): r for r in portfolio.level3(df, ["d"], "k", "s", 0.5, 2.0, variance="var", **more).collect()}
+    plain = book()
+    assert plain[0, "n0"].weight > 0.4 and plain[0, "n5"].weight < -0.4
+    got = book(adv="adv", nav=100.0, most_participation=0.1, hard_to_borrow="htb", volatility=0.1)
+    w = {k: r.weight for (d, k), r in got.items() if d == 0}
+    assert got[0, "n0"].status == "ok" and w["n0"] <= 0.05 + 1e-4 and w["n5"] >= -1e-4 and abs(sum(w.values())) < 1e-3
+    assert math.sqrt(0.04 * sum(x * x for x in w.values())) == pytest.approx(0.1, abs=1e-3)
+    assert got[1, "n0"].weight is None or math.isnan(got[1, "n0"].weight)
+    assert got[1, "n0"].status == "infeasible: adv unknown for 1 names"
+    with pytest.raises(ValueError):
+        portfolio.level3(df, ["d"], "k", "s", 0.5, 2.0, volatility=0.1)
+
+
 def test_folds(spark):
     days = [dt.date(2020, m, 1) for m in range(1, 13)]
     rule = folds.FoldRule(train_steps=4, test_steps=3)

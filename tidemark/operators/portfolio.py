@@ -56,8 +56,8 @@ class Infeasible(ValueError):
     """No book satisfies the constraints; names the most violated."""
 
 
-def optimise(alpha, cov, lower, upper, rows, bounds, gross: float, risk: float = 0.0, steps: int = 4_000, tolerance: float = 1e-6):
-    """Maximises alpha'w - risk w'Cw/2 subject to lower <= w <= upper, rows w in bounds and sum|w| <= gross.
+def optimise(alpha, cov, lower, upper, rows, bounds, gross: float, risk: float = 0.0, steps: int = 4_000, tolerance: float = 1e-6, volatility: float | None = None, held=None, cost: float = 0.0, borrow: float = 0.0):
+    """Maximises alpha'w - risk w'Cw/2 - cost sum|w - held| - borrow sum max(-w, 0) subject to lower <= w <= upper, rows w in bounds, sum|w| <= gross and w'Cw <= volatility**2.
 
     Operator splitting: the quadratic step is one factored linear system, the
     constraints are projections; then every constraint is checked again.
@@ -70,29 +70,62 @@ def optimise(alpha, cov, lower, upper, rows, bounds, gross: float, risk: float =
     a = np.vstack([np.eye(n), *[np.asarray(v, float)[None] for _, v in rows]])
     low = np.concatenate((np.asarray(lower, float), [b[0] for b in bounds]))
     high = np.concatenate((np.asarray(upper, float), [b[1] for b in bounds]))
+    held = np.zeros(n) if held is None else np.asarray(held, float)
     rho, sigma = 1.0, 1e-6
-    system = np.linalg.inv(risk * cov + sigma * np.eye(n) + rho * (a.T @ a + np.eye(n)))
+    root = None
+    if volatility is not None:
+        values, vectors = np.linalg.eigh(cov)
+        root = vectors * np.sqrt(np.maximum(values, 0)) @ vectors.T
+    charged = cost > 0 or borrow > 0
+    system = np.linalg.inv(risk * cov + sigma * np.eye(n) + rho * (a.T @ a + np.eye(n) * (2 if charged else 1) + (0 if root is None else root @ root)))
     w, z, y = np.zeros(n), np.zeros(len(a)), np.zeros(len(a))
     g, u = np.zeros(n), np.zeros(n)
+    h, q = np.zeros(n), np.zeros(n)  # the charged copy of w
+    v, x = np.zeros(n), np.zeros(n)  # root w, within its ball
     for _ in range(steps):
-        w = system @ (alpha + sigma * w + a.T @ (rho * z - y) + rho * g - u)
+        pull = alpha + sigma * w + a.T @ (rho * z - y) + rho * g - u
+        if charged:
+            pull = pull + rho * h - q
+        if root is not None:
+            pull = pull + root @ (rho * v - x)
+        w = system @ pull
         az = a @ w
         z_new = np.clip(az + y / rho, low, high)
         g_new = _onto_l1(w + u / rho, gross)
         y, u = y + rho * (az - z_new), u + rho * (w - g_new)
         done = max(np.abs(az - z_new).max(), np.abs(w - g_new).max(), np.abs(z_new - z).max(), np.abs(g_new - g).max())
         z, g = z_new, g_new
+        if charged:
+            h_new = _charged(w + q / rho, held, cost / rho, borrow / rho)
+            q, done = q + rho * (w - h_new), max(done, np.abs(w - h_new).max(), np.abs(h_new - h).max())
+            h = h_new
+        if root is not None:
+            at = root @ w
+            v_new = at + x / rho
+            v_new = v_new * min(1.0, volatility / max(np.linalg.norm(v_new), 1e-300))
+            x, done = x + rho * (at - v_new), max(done, np.abs(at - v_new).max(), np.abs(v_new - v).max())
+            v = v_new
         if done < tolerance / 10:
             break
     w = np.where(np.abs(w) < tolerance / 10, 0.0, w)
-    names = [f"position_{k}" for k in range(n)] + [r[0] for r in rows] + ["gross"]
-    over = np.concatenate((np.maximum(low - a @ w, a @ w - high), [np.abs(w).sum() - gross]))
+    names = [f"position_{k}" for k in range(n)] + [r[0] for r in rows] + ["gross", "volatility"]
+    over = np.concatenate((np.maximum(low - a @ w, a @ w - high), [np.abs(w).sum() - gross, 0.0 if root is None else np.linalg.norm(root @ w) - volatility]))
     if over.max() > 100 * tolerance:
         worst = sorted(zip(over, names), reverse=True)[:3]
         raise Infeasible(", ".join(f"{name} by {x:.3g}" for x, name in worst if x > 0))
     return w
 
 
+def _charged(x, held, cost: float, borrow: float):
+    """The h that minimises cost |h - held| + borrow max(-h, 0) + (h - x)**2 / 2, by name."""
+    import numpy as np
+
+    first, second = np.minimum(held, 0), np.maximum(held, 0)
+    h = x + cost + borrow
+    h = np.where(h > first, np.maximum(first, x - np.where(held > 0, -cost, cost - borrow)), h)
+    return np.where(h > second, np.maximum(second, x - cost), h)
+
+
 def _onto_l1(v, radius: float):
     import numpy as np
 
@@ -105,14 +138,22 @@ def _onto_l1(v, radius: float):
     return np.sign(v) * np.maximum(size - c[k] / (k + 1), 0)
 
 
-def level3(df: DataFrame, by: list[str], key: str, score: str, cap: float, gross: float, beta: str | None = None, groups: list[str] = (), group_net: float = 0.05, variance: str | None = None, risk: float = 1.0, held: str | None = None, most_turnover: float | None = None) -> DataFrame:
+def level3(df: DataFrame, by: list[str], key: str, score: str, cap: float, gross: float, beta: str | None = None, groups: list[str] = (), group_net: float = 0.05, variance: str | None = None, risk: float = 1.0, held: str | None = None, most_turnover: float | None = None, adv: str | None = None, nav: float | None = None, most_participation: float | None = None, hard_to_borrow: str | None = None, volatility: float | None = None, cost: float = 0.0, borrow: float = 0.0) -> DataFrame:
     """One optimised book a date: dollar and beta neutral, capped, group-neutral within group_net, turnover-bounded.
 
+    Trades are within most_participation of adv for a book of nav; names that
+    are hard_to_borrow are not short; volatility bounds the book's, in the
+    period of variance; cost and borrow are rates a period on trades and shorts.
+    A name without its adv makes a date infeasible.
     Dates are independent; each is one task's group, of the size of a universe.
     Infeasible dates return no weights and the named constraints.
     """
     from pyspark.sql import types as T
 
+    if volatility is not None and not variance:
+        raise ValueError("a volatility bound needs variances")
+    if most_participation is not None and not (adv and nav and nav > 0):
+        raise ValueError("a participation bound needs adv and a positive nav")
     schema = T.StructType([*[df.schema[c] for c in by], df.schema[key], T.StructField("weight", T.DoubleType()), T.StructField("status", T.StringType())])
 
     def run(pdf):
@@ -133,10 +174,21 @@ def level3(df: DataFrame, by: list[str], key: str, score: str, cap: float, gross
         if held and most_turnover is not None:
             each = 2 * most_turnover / max(n, 1)  # a sufficient bound, name by name
             lower, upper = np.maximum(lower, pdf[held].to_numpy(float) - each), np.minimum(upper, pdf[held].to_numpy(float) + each)
+        now = pdf[held].fillna(0).to_numpy(float) if held else np.zeros(n)
+        unknown = 0
+        if most_participation is not None:
+            volume = pdf[adv].to_numpy(float)
+            unknown = int((~np.isfinite(volume) | (volume < 0)).sum())
+            each = most_participation * np.nan_to_num(volume) / nav
+            lower, upper = np.maximum(lower, now - each), np.minimum(upper, now + each)
+        if hard_to_borrow:
+            lower = np.where(pdf[hard_to_borrow].fillna(True).to_numpy(bool), np.maximum(lower, 0), lower)
         cov = np.diag(pdf[variance].to_numpy(float)) if variance else np.eye(n)
         out = pd.DataFrame({c: pdf[c].to_numpy() for c in by} | {key: pdf[key].to_numpy()})
         try:
-            out["weight"], out["status"] = optimise(pdf[score].to_numpy(float), cov, lower, upper, rows, bounds, gross, risk), "ok"
+            if unknown:
+                raise Infeasible(f"{adv} unknown for {unknown} names")
+            out["weight"], out["status"] = optimise(pdf[score].to_numpy(float), cov, lower, upper, rows, bounds, gross, risk, volatility=volatility, held=now, cost=cost, borrow=borrow), "ok"
         except Infeasible as e:
             out["weight"], out["status"] = np.nan, f"infeasible: {e}"
         return out[[*by, key, "weight", "status"]]
