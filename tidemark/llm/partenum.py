@@ -16,12 +16,17 @@ in that band. A pair shares one signature more than the spare ones of its
 smaller set, so keeps at least one, whichever of the two leaves some out.
 
 Rows that share a signature are found by sorting on it and streaming over the
-sorted rows. Pairs then come in two rounds. First each row is paired with the
-first of its signature. Pairs are bounded from below by the number of parts in
-which they differ, then verified on their whole sets. Where a signature's rows
-are still in several components, every pair across components is tried in
-blocks of bounded size. So no link between different sets is lost, and sets
-already joined are not compared again.
+sorted rows. What sets have in common lies in features that at least two
+sets with a shared signature hold, so a set too many of whose features are its
+own alone can link with none and is left out; one count by feature, combined
+before it is shuffled, finds these. Of the rest, sets joined by chains of shared
+signatures are a family. A family is compared in blocks of bounded size, by the
+sizes of the intersections of whole sets; from each pair of blocks comes at most
+one row for each set, that which joins it to its group there. So no link
+between different sets is lost, and what is written follows the number of sets,
+not of pairs. A family of more sets than a block holds is compared block
+against block: work that grows with the square of such a family, at the speed
+of a matrix product.
 
 Features are 64-bit hashes of shingles; a class is a set's size and 128-bit
 hash.
@@ -41,9 +46,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, release, scratch, shuffle_tasks
+from .common import discard, materialise, release, shuffle_tasks
 
-BLOCK = 1_000  # rows of a signature compared in one block
+BLOCK_SETS = 1_500  # sets of a block at most, on average
+BLOCK_FEATURES = 1_000_000  # features of a block at most, on average
+DENSE = 16  # sets that hold a feature from which on it is a column of a matrix
+TILE = 8 << 20  # cells of such a matrix at once
 
 
 @dataclass(frozen=True)
@@ -178,48 +186,8 @@ def signatures(features, similar: Similar):
     return np.concatenate(out)
 
 
-LEAST_BUCKETS = 256
-
-
-def _sketch(features) -> bytes:
-    """A set's sketch: sums of its features modulo 4 in buckets by their top bits, a power of two of at least half its size."""
-    import numpy as np
-
-    from .words import mix
-
-    bits = max(LEAST_BUCKETS.bit_length() - 1, (max(1, len(features) // 2) - 1).bit_length())
-    at = (features >> np.uint64(64 - bits)).astype(np.int64)
-    sums = np.bincount(at, weights=(mix(features) & np.uint64(3)).astype(np.float64), minlength=1 << bits)
-    two = (sums.astype(np.int64) & 3).astype(np.uint8).reshape(-1, 4)
-    return (two << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8).tobytes()
-
-
-def _sketches(features, bounds, docs: int) -> list[bytes]:
-    return [_sketch(features[bounds[d] : bounds[d + 1]]) for d in range(docs)]
-
-
-def _buckets(sketch: bytes):
-    import numpy as np
-
-    return ((np.frombuffer(sketch, np.uint8)[:, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3).ravel()
-
-
-def _folded(buckets, n: int):
-    """The same sketch over fewer buckets: neighbours add up."""
-    while len(buckets) > n:
-        buckets = buckets.reshape(-1, 2).sum(1, dtype=buckets.dtype) & 3
-    return buckets
-
-
-def _apart(a: bytes, b: bytes) -> int:
-    """Buckets in which two sketches differ: no more than the features in which the sets do."""
-    x, y = _buckets(a), _buckets(b)
-    n = min(len(x), len(y))
-    return int((_folded(x, n) != _folded(y, n)).sum())
-
-
 def class_table(docs: DataFrame, similar: Similar) -> DataFrame:
-    """doc_id, h (the text's hash), n, c1, c2, sketch of each row; no texts."""
+    """doc_id, h (the text's hash), n, c1, c2 of each row; no texts."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -231,9 +199,9 @@ def class_table(docs: DataFrame, similar: Similar) -> DataFrame:
             for lo, hi, w in slices(batch.column(2), fold=True):
                 features, bounds = _sets(w, similar.words)
                 c1, c2 = _class_hashes(features, bounds)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(c1), pa.array(c2), pa.array(_sketches(features, bounds, hi - lo), pa.binary())], names=["doc_id", "h", "n", "c1", "c2", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(c1), pa.array(c2)], names=["doc_id", "h", "n", "c1", "c2"])
 
-    return docs.select("doc_id", "h", "t").mapInArrow(run, "doc_id long, h long, n long, c1 long, c2 long, sketch binary")
+    return docs.select("doc_id", "h", "t").mapInArrow(run, "doc_id long, h long, n long, c1 long, c2 long")
 
 
 def signed(docs: DataFrame, similar: Similar) -> DataFrame:
@@ -272,24 +240,19 @@ def signed(docs: DataFrame, similar: Similar) -> DataFrame:
 
 
 def shared(sigs: DataFrame) -> DataFrame:
-    """sig, c, l, k of signatures with several classes, each class once; streams over sorted rows.
-
-    l: the signature's first class; k: the row's place among its classes, 2 standing for all from there on.
-    """
+    """sig, c of signatures with several classes, each class once; streams over sorted rows."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        held = None  # the last row of what came before: sig, c, its leader, its place
+        held = None  # the last row of what came before: sig, c, its place among its signature's classes
         for batch in batches:
-            sig, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            sig, c, place = batch.column(0).to_numpy(), batch.column(1).to_numpy(), 0
             if not len(sig):
                 continue
-            lead, place = c[0], 0
             if held is not None:
-                sig, c = np.concatenate(([held[0]], sig)), np.concatenate(([held[1]], c))
-                lead, place = held[2], held[3]
+                sig, c, place = np.concatenate(([held[0]], sig)), np.concatenate(([held[1]], c)), held[2]
             n = len(sig)
             new = np.ones(n, bool)
             new[1:] = sig[1:] != sig[:-1]
@@ -298,30 +261,34 @@ def shared(sigs: DataFrame) -> DataFrame:
             first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
             count = np.cumsum(fresh)
             k = count - count[first] + np.where(first == 0, place, 0)
-            l = np.where(first == 0, lead, c[first])
             last_place = np.zeros(n, np.int64)
             np.maximum.at(last_place, first, k)
             out = fresh & (last_place[first] > 0)
             if held is not None:
-                out[0] = held[3] == 0 and last_place[0] > 0  # a later place was put out with its own batch
+                out[0] = place == 0 and last_place[0] > 0  # a later place was put out with its own batch
             if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(sig[out]), pa.array(c[out]), pa.array(l[out]), pa.array(np.minimum(k[out], 2), pa.int32())], names=["sig", "c", "l", "k"])
-            held = (sig[-1], c[-1], l[-1], int(k[-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(sig[out]), pa.array(c[out])], names=["sig", "c"])
+            held = (sig[-1], c[-1], int(k[-1]))
 
     spark = sigs.sparkSession
-    return sigs.repartition(shuffle_tasks(spark), "sig").sortWithinPartitions("sig", "c").mapInArrow(run, "sig long, c long, l long, k int")
+    return sigs.repartition(shuffle_tasks(spark), "sig").sortWithinPartitions("sig", "c").mapInArrow(run, "sig long, c long")
 
 
 SENT = 200_000  # class names sent to every task at most; beyond, texts are shuffled to them
 
 
-def set_table(names: DataFrame, classes: DataFrame, docs: DataFrame, similar: Similar) -> DataFrame:
-    """c1, c2, s (features) of the named classes, from each one's first text."""
-    wanted = names.join(classes, ["c1", "c2"]).select(F.col("rep.doc_id").alias("w_id"), F.col("rep.h").alias("w_h"), "c1", "c2")
+def _texts(names: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """c1, c2, t (its first text) of the classes with the names c."""
+    wanted = classes.join(names, classes["c1"] == names["c"], "left_semi").select(F.col("rep.doc_id").alias("w_id"), F.col("rep.h").alias("w_h"), "c1", "c2")
     wanted = materialise(wanted, "wanted")
     if wanted.count() <= SENT:
         wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h"))).select("c1", "c2", "t")
+    found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h")))
+    return found.select("c1", "c2", "t")
+
+
+def own_features(texts: DataFrame, similar: Similar) -> DataFrame:
+    """c, own: how many features of the classes named c no other text of the table has."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -330,131 +297,137 @@ def set_table(names: DataFrame, classes: DataFrame, docs: DataFrame, similar: Si
         from .words import slices
 
         for batch in batches:
-            for lo, hi, w in slices(batch.column(2), fold=True):
+            for lo, hi, w in slices(batch.column(1), fold=True):
                 f, bounds = _sets(w, similar.words)
-                sets = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((8 * bounds).astype(np.int32).tobytes()), pa.py_buffer(f.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), sets], names=["c1", "c2", "s"])
+                c = np.repeat(batch.column(0).slice(lo, hi - lo).to_numpy(), np.diff(bounds))
+                for a in range(0, len(f), 200_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(f[a : a + 200_000].view(np.int64)), pa.array(c[a : a + 200_000])], names=["f", "c"])
 
-    return texts.mapInArrow(run, "c1 long, c2 long, s binary")
+    held = texts.select("c1", "t").mapInArrow(run, "f long, c long").groupBy("f").agg(F.count(F.lit(1)).alias("times"), F.min("c").alias("c"))
+    return held.where("times = 1").groupBy("c").agg(F.count(F.lit(1)).alias("own"))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similar: Similar) -> DataFrame | None:
-    """The pairs (a1, a2, b1, b2) whose whole sets are similar enough, written; None if there are no pairs."""
-    pairs = materialise(pairs, "pairs")
-    if not pairs.take(1):
-        return None
-    names = pairs.select(F.col("a1").alias("c1"), F.col("a2").alias("c2")).unionByName(pairs.select(F.col("b1").alias("c1"), F.col("b2").alias("c2"))).distinct()
-    sets = materialise(set_table(names, classes, docs, similar), "sets")
-    left = sets.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("s").alias("sa"))
-    right = sets.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("s").alias("sb"))
+def set_table(texts: DataFrame, similar: Similar) -> DataFrame:
+    """c1, c2, n, s (the features as bytes) of texts."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            hit = np.zeros(len(batch), bool)
-            sa, sb = batch.column(4), batch.column(5)
-            for k in range(len(batch)):
-                a, b = np.frombuffer(sa[k].as_buffer(), np.uint64), np.frombuffer(sb[k].as_buffer(), np.uint64)
-                both = len(a) + len(b)
-                merged = np.sort(np.concatenate((a, b)))
-                common = int((merged[1:] == merged[:-1]).sum())
-                hit[k] = 100 * common >= similar.percent * (both - common)
-            yield batch.select([0, 1, 2, 3]).filter(pa.array(hit))
-
-    joined = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"])
-    links = materialise(joined.select("a1", "a2", "b1", "b2", "sa", "sb").mapInArrow(run, "a1 long, a2 long, b1 long, b2 long"), "verified")
-    discard(sets)
-    discard(pairs)
-    return links
+        from .words import slices
 
+        for batch in batches:
+            for lo, hi, w in slices(batch.column(2), fold=True):
+                f, bounds = _sets(w, similar.words)
+                sets = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((8 * bounds).astype(np.int32).tobytes()), pa.py_buffer(f.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(bounds)), sets], names=["c1", "c2", "n", "s"])
 
-def star_pairs(members: DataFrame, nodes: DataFrame, similar: Similar) -> DataFrame:
-    """Each signature's classes with its first one, where sizes and sketches allow a link."""
-    stars = members.where("c <> l").select("c", "l").distinct()
-    sizes = nodes.select(F.col("c1").alias("c"), F.col("n").alias("n_c")).distinct()
-    pairs = stars.join(sizes, "c").join(sizes.select(F.col("c").alias("l"), F.col("n_c").alias("n_l")), "l")
-    pairs = pairs.where((100 * F.col("n_c") >= similar.percent * F.col("n_l")) & (100 * F.col("n_l") >= similar.percent * F.col("n_c"))).select("c", "l").distinct()
-    side = lambda x, y, m, k: nodes.select(F.col("c1").alias(x), F.col("c2").alias(y), F.col("n").alias(m), F.col("sketch").alias(k))
-    both = pairs.withColumnsRenamed({"l": "a1", "c": "b1"}).join(side("a1", "a2", "n_a", "k_a"), "a1").join(side("b1", "b2", "n_b", "k_b"), "b1")
+    return texts.select("c1", "c2", "t").mapInArrow(run, "c1 long, c2 long, n long, s binary")
 
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
 
-        for batch in batches:
-            apart = np.array([_apart(a, b) for a, b in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist())], np.int64)
-            n = batch.column(4).to_numpy() + batch.column(5).to_numpy()
-            near = apart * (100 + similar.percent) <= (100 - similar.percent) * n
-            yield batch.select([0, 1, 2, 3]).filter(pa.array(near))
+def intersections(sets: list, left: int):
+    """Sizes of the intersections of each of the first `left` sets with each of the others; with left = all, of all with all."""
+    import numpy as np
 
-    return both.select("a1", "a2", "b1", "b2", "n_a", "n_b", "k_a", "k_b").mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
+    rows = len(sets)
+    within = left == rows
+    f = np.concatenate(sets)
+    who = np.repeat(np.arange(rows), [len(s) for s in sets])
+    order = np.argsort(f, kind="stable")
+    f, who = f[order], who[order]
+    new = np.ones(len(f), bool)
+    new[1:] = f[1:] != f[:-1]
+    held = np.diff(np.append(np.flatnonzero(new), len(f)))
+    column = np.cumsum(new) - 1
+    out = np.zeros((left, rows if within else rows - left), np.float32)
+    few = held[column] < DENSE
+    low, at = who[few], column[few]
+    for d in range(1, DENSE - 1):  # features that few sets hold, pair by pair
+        a, b = low[:-d], low[d:]  # a column's rows ascend
+        pair = at[:-d] == at[d:]
+        if not pair.any():
+            break
+        if not within:
+            pair &= (a < left) & (b >= left)
+        a, b = a[pair], b[pair]
+        if len(a):
+            cells = a * out.shape[1] + (b if within else b - left)
+            out += np.bincount(cells, minlength=out.size).reshape(out.shape)
+    many = ~few
+    if many.any():  # the others as a matrix
+        _, at = np.unique(column[many], return_inverse=True)
+        who, total = who[many], int(at[-1]) + 1
+        wide = max(1, TILE // rows)
+        for a in range(0, total, wide):
+            part = slice(*np.searchsorted(at, (a, a + wide)))
+            cells = np.zeros((rows, min(wide, total - a)), np.float32)
+            cells[who[part], at[part] - a] = 1
+            out += cells[:left] @ (cells if within else cells[left:]).T
+    return out
+
+
+def least_labels(a, b, n: int):
+    """The least of the nodes 0..n-1 that each reaches by edges a, b."""
+    import numpy as np
 
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        after = label.copy()
+        np.minimum.at(after, label[a], least)
+        np.minimum.at(after, label[b], least)
+        after = after[after]
+        if (after == label).all():
+            return label
+        label = after
 
-def _pairs_within(similar: Similar, hub: bool):
-    """Pairs of a signature's rows in different components that can be similar enough, by sketch.
 
-    hub: only pairs with the row nearest to the rows' consensus.
-    """
+def _joined(similar: Similar):
+    """A block pair's group function: each set that links, with the first of the sets to which links join it there."""
 
     def run(table):
         import numpy as np
         import pyarrow as pa
 
-        n, comp = table.column("n").to_numpy(), table.column("comp").to_numpy()
+        order = np.argsort(table.column("side").to_numpy(), kind="stable")
+        table = table.take(pa.array(order))
         side, i, j = (table.column(k).to_numpy() for k in ("side", "i", "j"))
-        each = [_buckets(x) for x in table.column("sketch").to_pylist()]
-        least = min(map(len, each))
-        rows = np.stack([_folded(x, least) for x in each])
-        a_out, b_out = [], []
-        if hub:
-            votes = np.stack([(rows == v).sum(0) for v in range(4)])
-            left = [int((rows == votes.argmax(0)).sum(1).argmax())]
-            right = np.arange(len(n))
+        sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in table.column("s")]
+        rows = len(sets)
+        left = rows if i[0] == j[0] else int((side == i[0]).sum())
+        if 0 < left and (left < rows or i[0] == j[0]):
+            common = intersections(sets, left)
+            n = np.array([len(s) for s in sets])
+            both = n[:left, None] + (n if left == rows else n[left:])[None, :]
+            a, b = np.nonzero((100 + similar.percent) * common.astype(np.int64) >= similar.percent * both)
+            label = least_labels(a, b if left == rows else b + left, rows)
         else:
-            left = np.flatnonzero(side == i).tolist()
-            right = np.flatnonzero(side == j)
-        for a in left:
-            others = right[right > a] if i[0] == j[0] and not hub else right
-            others = others[comp[others] != comp[a]]
-            apart = (rows[others] != rows[a]).sum(1)
-            others = others[apart * (100 + similar.percent) <= (100 - similar.percent) * (n[others] + n[a])]
-            a_out.append(np.full(len(others), a))
-            b_out.append(others)
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_out, b_out))
+            label = np.arange(rows)
+        tied = np.flatnonzero(label != np.arange(rows))
         c1, c2 = table.column("c1").to_numpy(), table.column("c2").to_numpy()
-        swap = (c1[a] > c1[b]) | ((c1[a] == c1[b]) & (c2[a] > c2[b]))
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        return pa.Table.from_arrays([pa.array(x) for x in (c1[a], c2[a], c1[b], c2[b])], names=["a1", "a2", "b1", "b2"])
+        return pa.Table.from_arrays([pa.array(x) for x in (c1[tied], c2[tied], c1[label[tied]], c2[label[tied]])], names=["a1", "a2", "b1", "b2"])
 
     return run
 
 
-def open_pairs(members: DataFrame, comps: DataFrame, nodes: DataFrame, similar: Similar, hub: bool) -> DataFrame:
-    """Pairs to verify among signatures whose rows are still in several components, in blocks of bounded size.
+def links_within(sets: DataFrame, families: DataFrame, similar: Similar) -> DataFrame:
+    """Pairs (a1, a2, b1, b2) of classes that links join, over each family (c, family) of set_table's rows."""
+    sized = sets.join(families, sets["c1"] == families["c"]).drop("c")
+    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK_FEATURES, F.count(F.lit(1)) / BLOCK_SETS)).cast("int")
+    sized = sized.drop("n").join(sized.groupBy("family").agg(blocks.alias("blocks")), "family")
+    sized = sized.withColumn("side", F.pmod(F.xxhash64("c1", "c2"), F.col("blocks")).cast("int"))
+    both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("side")).alias("i"), F.greatest(k, F.col("side")).alias("j")))
+    sized = sized.withColumn("ij", F.explode(both)).select("family", "ij.i", "ij.j", "side", "c1", "c2", "s")
+    return sized.groupBy("family", "i", "j").applyInArrow(_joined(similar), "a1 long, a2 long, b1 long, b2 long")
 
-    comps: c, comp, one row a name c (names that several classes share are left out, so count as open).
-    """
-    at = members.join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    still = at.groupBy("sig").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    at = at.join(still, "sig").withColumn("side", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    if hub:
-        at = at.withColumn("i", F.col("side")).withColumn("j", F.col("side"))
-    else:
-        both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("side")).alias("i"), F.greatest(k, F.col("side")).alias("j")))
-        at = at.withColumn("ij", F.explode(both)).select("*", "ij.i", "ij.j").drop("ij")
-    at = at.join(nodes.select(F.col("c1").alias("c"), "c1", "c2", "n", "sketch"), "c")
-    return at.groupBy("sig", "i", "j").applyInArrow(_pairs_within(similar, hub), "a1 long, a2 long, b1 long, b2 long").distinct()
-
-
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """v, comp (the least node reachable) of the nodes with edges a, b. Labels spread along edges and jump over labels."""
+
+def components(edges: DataFrame) -> DataFrame:
+    """v, comp (the least node reachable) of the nodes with edges a, b. Labels spread along edges and jump over labels until none changes."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b")).distinct()
     both = materialise(both, "edges")
     linked = both.select(F.col("a").alias("v")).distinct()
     labels = materialise(linked.withColumn("comp", F.col("v")), "labels")
-    for _ in range(most):
+    while True:
         # least label among a node and its neighbours
         near = both.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("comp").alias("near"))
         step = labels.join(near, F.col("v") == F.col("a")).select("v", "comp", F.least("comp", "near").alias("least"))
@@ -465,57 +438,49 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         changed = step.where(F.col("next") != F.col("comp")).limit(1).count()
         labels = step.select("v", F.col("next").alias("comp"))
         if not changed:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return labels
+            return labels
+
+
+def families(members: DataFrame) -> DataFrame:
+    """c, family of the classes that still share a signature (sig, c), by chains of shared signatures."""
+    first = members.groupBy("sig").agg(F.min("c").alias("l"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    edges = members.join(first, "sig").where("c <> l").select(F.col("c").alias("a"), F.col("l").alias("b")).distinct()
+    return components(edges).select(F.col("v").alias("c"), F.col("comp").alias("family"))
 
 
 def link(docs: DataFrame, doc_id: Column, text: Column, similar: Similar = Similar()) -> DataFrame:
-    """doc_id, h (xxhash64 of the text, null as empty), n_shingles, component_id for every row; component_id is the smallest doc_id reachable by links."""
+    """doc_id, h, n_shingles, component_id, g1, g2 for every row.
+
+    h: xxhash64 of the text, null as empty. component_id: the smallest doc_id
+    reachable by links. g1, g2: the component's name, which tells components
+    apart whose doc_ids are all null; null for an empty set.
+    """
     spark = docs.sparkSession
     content = F.coalesce(text, F.lit(""))
     source = docs.select(doc_id.cast("long").alias("doc_id"), F.xxhash64(content).alias("h"), content.cast("binary").alias("t"))
     rows = materialise(class_table(source, similar), "classes")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
-    classes = materialise(rows.where("n > 0").groupBy("c1", "c2").agg(least.alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "class-reps")
-    rows = rows.drop("sketch")
+    classes = materialise(rows.where("n > 0").groupBy("c1", "c2").agg(least.alias("rep"), F.first("n").alias("n")), "class-reps")
     members = materialise(shared(signed(source, similar)), "shared-signatures")
     release(spark)
-    nodes = classes.select("c1", "c2", "n", "sketch")
-    path = scratch(spark, "links")
-    links = verified(star_pairs(members, nodes, similar), classes, source, similar)
-    (links if links is not None else _no_links(spark)).write.parquet(path)
-    labelled = _labelled(spark, path, classes)
-    release(spark)
-    # a signature of two classes is settled: its only pair has been verified
-    more = members.where("k = 2").select("sig").distinct()
-    larger = materialise(members.select("sig", "c").join(more, "sig", "left_semi"), "larger-signatures")
+    own = own_features(_texts(members.select("c").distinct(), classes, source), similar)
+    # a name that two classes have stays, whatever the count
+    sizes = classes.groupBy(F.col("c1").alias("c")).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    apart = own.join(sizes, "c").where((F.col("k") == 1) & (100 * (F.col("n") - F.col("own")) < similar.percent * F.col("n"))).select("c")
+    left = materialise(members.join(apart, "c", "left_anti"), "near-signatures")
     discard(members)
     release(spark)
-    for hub in (True, False):
-        comps = labelled.groupBy(F.col("v.c1").alias("c")).agg(F.max(F.xxhash64("comp")).alias("comp"), F.count(F.lit(1)).alias("k")).where("k = 1").drop("k")
-        links = verified(open_pairs(larger, comps, nodes, similar, hub), classes, source, similar)
-        release(spark)
-        if links is not None:
-            before = spark.read.parquet(path).count()
-            links.write.mode("append").parquet(path)
-            if spark.read.parquet(path).count() > before:
-                labelled = _labelled(spark, path, classes)
-    owners = labelled.select("v.c1", "v.c2", F.col("comp.doc_id").alias("owner"))
-    out = rows.join(classes.select("c1", "c2", F.col("rep.doc_id").alias("first_id")), ["c1", "c2"], "left").join(owners, ["c1", "c2"], "left")
-    return out.select("doc_id", "h", F.col("n").alias("n_shingles"), F.coalesce("owner", "first_id", "doc_id").alias("component_id"))
-
-
-def _no_links(spark) -> DataFrame:
-    return spark.createDataFrame([], "a1 long, a2 long, b1 long, b2 long")
-
-
-def _labelled(spark, path: str, classes: DataFrame) -> DataFrame:
-    """v, comp: component labels of the classes with links; a label orders by its smallest doc_id."""
-    found = spark.read.schema("a1 long, a2 long, b1 long, b2 long").parquet(path)
+    near = materialise(families(left), "families")
+    discard(left)
+    sets = materialise(set_table(_texts(near, classes, source), similar).dropDuplicates(["c1", "c2"]), "sets")
+    edges = materialise(links_within(sets, near, similar), "links")
+    discard(sets)
+    release(spark)
     name = F.struct(F.col("rep.none").alias("none"), F.col("rep.doc_id").alias("doc_id"), "c1", "c2")
-    names = classes.select(F.col("c1"), F.col("c2"), name.alias("v"))
-    a = names.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("v").alias("a"))
-    b = names.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("v").alias("b"))
-    return components(found.distinct().join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("a", "b"))
+    a = classes.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), name.alias("a"))
+    b = classes.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), name.alias("b"))
+    labelled = components(edges.distinct().join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("a", "b"))
+    release(spark)
+    owners = labelled.select("v.c1", "v.c2", F.col("comp.doc_id").alias("owner"), F.col("comp.c1").alias("o1"), F.col("comp.c2").alias("o2"))
+    out = rows.join(classes.select("c1", "c2", F.col("rep.doc_id").alias("first_id")), ["c1", "c2"], "left").join(owners, ["c1", "c2"], "left")
+    return out.select("doc_id", "h", F.col("n").alias("n_shingles"), F.coalesce("owner", "first_id", "doc_id").alias("component_id"), *[F.when(F.col("n") > 0, F.coalesce(f"o{k}", f"c{k}")).alias(f"g{k}") for k in (1, 2)])

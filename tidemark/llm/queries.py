@@ -78,7 +78,7 @@ def op9_pack_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .partenum import link
 
-    return link(documents(spark, sf_dir), F.col("doc_id"), F.col("text")).drop("h")
+    return link(documents(spark, sf_dir), F.col("doc_id"), F.col("text")).select("doc_id", "n_shingles", "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
