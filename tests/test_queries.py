@@ -1,4 +1,4 @@
-"""A sample of the registered queries against their SQL in DuckDB on the smallest tables."""
+"""Every registered panel query against its SQL in DuckDB on the smallest tables."""
 
 from __future__ import annotations
 
@@ -7,15 +7,18 @@ import os
 import pytest
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = [
-    "pit_latest_vintage", "pit_asof_join_lagged", "interval_membership", "vintage_assembly", "weekly_grid", "xsec_rank_avg", "xsec_zscore",
-    "feat_momentum", "feat_volatility_60d", "fwd_return_delisting", "ic_spearman_reversal", "ic_summary_nw", "z_scores", "fold_selection",
-    "l2_portfolio", "turnover_one_way", "trade_costs", "dq_stale_runs", "stream_windows",
-]
+
+
+def _names() -> list[str]:
+    from tidemark.plans import registry
+
+    return sorted(registry.oracle_sql())
 
 
 def _plain(value):
-    if value is None or value != value:
+    import pandas as pd
+
+    if value is None or (pd.api.types.is_scalar(value) and pd.isna(value)):
         return None
     if isinstance(value, bool):
         return value
@@ -30,17 +33,22 @@ def _rows(frame):
     return sorted((tuple(map(_plain, r)) for r in frame.itertuples(index=False)), key=repr)
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", SAMPLE)
-def test_query_equals_its_sql(spark, name):
+@pytest.fixture(scope="module")
+def con():
     import duckdb
 
-    import __spark_entry__ as e
-
     con = duckdb.connect()
     con.execute("SET timezone='UTC'")
     for file in os.listdir(SF):
         con.execute(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{file}'")
+    return con
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", _names())
+def test_query_equals_its_sql(spark, con, name):
+    import __spark_entry__ as e
+
     got, want = e.queries()[name](spark, SF).toPandas(), con.execute(e.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert _rows(got) == _rows(want)

@@ -40,6 +40,19 @@ def rank_normalize(df: DataFrame, by: list[str], v: str, key: str, out: str = "r
     return df.withColumn(out, F.col(out) / F.count(F.lit(1)).over(_over(by)))
 
 
+def rank_columns(df: DataFrame, by: list[str], ranks: dict[str, str], key: str, highest_first: bool = True) -> DataFrame:
+    """Adds for each name: value column of `ranks` the rank that rank_normalize gives, null where not covered; no row leaves.
+
+    All windows are dealt by the same columns: one exchange for any number of ranks.
+    """
+    out = {}
+    for name, v in ranks.items():
+        inside = covered(F.col(v))
+        place = F.row_number().over(_over(by).orderBy(inside.desc(), *_order(v, key, highest_first)))
+        out[name] = F.when(inside, place / F.sum(inside.cast("int")).over(_over(by)))
+    return df.withColumns(out)
+
+
 def rank_normalize_by_cell(df: DataFrame, by: list[str], cell: str, v: str, key: str, out: str = "rank", **how) -> DataFrame:
     """As rank_normalize, within date and cell; names without a cell are left out."""
     return rank_normalize(df.where(F.col(cell).isNotNull()), [*by, cell], v, key, out, **how)

@@ -69,6 +69,50 @@ def trade_costs(trades: DataFrame, stack: CostStack) -> DataFrame:
     return out.withColumn("total", sum((F.col(k) for k in parts), zero)).drop("_t")
 
 
+def ledger_hooks(stack: CostStack, market: dict[str, tuple[float, float, str]], fee_bps: float, day_count_fraction: float, fee_by_region: dict[str, float] | None = None, denominator: int = 365):
+    """(cost, borrow): the ledger's two hooks, charging its trades and short positions as trade_costs and borrow do.
+
+    market: name to (adv, spread in basis points, region). The fraction of a
+    year becomes whole days. Charges that are not finite and not negative, and
+    trades in names without a market, are refused.
+    """
+    days = round(day_count_fraction * denominator)
+    scale_all = (stack.aum / stack.size_ref) ** stack.size_exp if stack.size_ref and stack.aum else 1.0
+
+    def known(name: str) -> tuple[float, float, str]:
+        if name not in market:
+            raise ValueError(f"no market data for {name}")
+        return market[name]
+
+    def refuse(x: float) -> float:
+        if not 0 <= x < float("inf"):
+            raise ValueError(f"a charge of {x}")
+        return x
+
+    def cost(trades: dict[str, float]) -> float:
+        total = 0.0
+        for name, notional in trades.items():
+            adv, spread, region = known(name)
+            size = abs(notional)
+            if not size:
+                continue
+            part = (stack.commission or 0.0) + (stack.crossing or 0.0) * spread * BP * size
+            if stack.linear_bps is not None:
+                part += stack.linear_by_region.get(region, stack.linear_bps) * BP * size
+            if stack.impact_coeff is not None:
+                part += stack.impact_coeff * BP * (size / adv) ** stack.impact_exp * size
+            if stack.participation_cap is not None:
+                part += stack.participation_bps * BP * max(0.0, size - stack.participation_cap * adv)
+            total += part * stack.region_multiplier.get(region, 1.0) * scale_all
+        return refuse(total)
+
+    def borrow_fee(positions: dict[str, float]) -> float:
+        fees = fee_by_region or {}
+        return refuse(sum(fees.get(known(k)[2], fee_bps) * BP * -v * days / denominator for k, v in positions.items() if v < 0))
+
+    return cost, borrow_fee
+
+
 def inconsistent_adv(trades: DataFrame) -> DataFrame:
     """Groups whose trades name several volumes: refused."""
     return trades.groupBy("date", "security_id").agg(F.count_distinct("adv").alias("n")).where("n > 1")

@@ -106,6 +106,18 @@ def identifier_map(df: DataFrame, security: str, schemes: list[str], extra: list
     return df.select(security, *extra, F.explode(rows).alias("_i")).select(security, "_i.*", *extra).where("id_value is not null")
 
 
+def successors(records: DataFrame, ids: DataFrame, ticker: str, exchange: str, successor: str) -> tuple[DataFrame, DataFrame]:
+    """(records with successor_security_id, records whose successor's ticker has no id on its exchange).
+
+    ids: security_id and the same ticker and exchange columns, one row each.
+    A record without a successor keeps null and is no error.
+    """
+    known = ids.select(F.col("security_id").alias("successor_security_id"), F.col(ticker).alias(successor), exchange)
+    j = records.join(known, [successor, exchange], "left")
+    lost = F.col(successor).isNotNull() & F.col("successor_security_id").isNull()
+    return j.where(~lost).select(*records.columns, "successor_security_id"), j.where(lost).select(*records.columns)
+
+
 def lineage(df: DataFrame, knowledge: str) -> DataFrame:
     """Row count, latest knowledge and an order-free content hash, in one pass."""
     h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])

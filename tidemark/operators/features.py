@@ -110,9 +110,10 @@ def adv_dollar_20d(bars, grid, by, event, day, value="close", volume="volume"):
 def asset_growth_1y(facts: DataFrame, by: str) -> DataFrame:
     """Each period against the latest one 330 to 400 days before it."""
     f = facts.where(F.col("metric") == "TOTAL_ASSETS").select(by, "period_end", "value", "knowledge_time")
-    old = f.select(by, F.col("period_end").alias("_pe"), F.col("value").alias("_v"))
-    j = f.join(old, by).where(F.datediff("period_end", "_pe").between(330, 400))
-    g = j.groupBy(by, "period_end", "value", "knowledge_time").agg(F.max_by("_v", "_pe").alias("_v"))
+    day = F.datediff("period_end", F.lit("1970-01-01").cast("date"))
+    year_ago = Window.partitionBy(by).orderBy("_day").rangeBetween(-400, -330)
+    g = f.withColumn("_day", day).withColumns({"_seen": F.count(F.lit(1)).over(year_ago), "_v": F.max_by("value", "period_end").over(year_ago)})
+    g = g.where("_seen > 0").select(by, "period_end", "value", "knowledge_time", "_v").distinct()
     return g.withColumn("asset_growth_1y", ratio(F.col("value"), F.col("_v")) - 1).drop("_v")
 
 

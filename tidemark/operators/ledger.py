@@ -2,7 +2,9 @@
 
 Each period trades from drifted to target positions, pays costs, drifts through
 its marks, pays out terminated names, pays borrow, and checks its return on a
-second path. Books are independent and run in parallel.
+second path. Books are independent and run in parallel; a task streams over a
+book's rows in period order and holds one period and the positions, never the
+history.
 """
 
 from __future__ import annotations
@@ -68,17 +70,35 @@ def run_ledger(targets: DataFrame, marks: DataFrame, cost_bps: float = 0.0, borr
     t = targets.selectExpr("book", "period", "-1 as step", "name", "cast(weight as double) as x", "false as terminated")
     m = marks.selectExpr("book", "period", "step", "name", "cast(ret as double) as x", "terminated")
 
-    def run(pdf):
+    names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
+
+    def run(batches):
         import pandas as pd
 
-        cash, held, banned, rows = nav, {}, set(), []
-        for period, g in pdf.sort_values(["period", "step", "name"]).groupby("period", sort=True):
+        book, cash, held, banned = None, nav, {}, set()
+
+        def account(g):
+            nonlocal book, cash, held, banned
+            if g["book"].iloc[0] != book:
+                book, cash, held, banned = g["book"].iloc[0], nav, {}, set()
             weights = dict(zip(g.loc[g.step == -1, "name"], g.loc[g.step == -1, "x"]))
             steps = [(dict(zip(s["name"], s["x"])), set(s.loc[s["terminated"], "name"])) for _, s in g[g.step >= 0].groupby("step", sort=True)]
             cost = lambda trades: cost_bps * 1e-4 * sum(map(abs, trades.values()))
             borrow = lambda p: borrow_bps * 1e-4 * -sum(v for v in p.values() if v < 0) * days_per_period / 365
             row, cash, held = run_period(cash, held, banned, weights, steps, cost, borrow)
-            rows.append({"book": pdf["book"].iloc[0], "period": int(period)} | row)
-        return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in SCHEMA.split(", ")])
+            return {"book": book, "period": int(g["period"].iloc[0])} | row
+
+        open_rows = None  # of the last book and period, which the next batch may go on with
+        for batch in batches:
+            if not len(batch):
+                continue
+            both = batch if open_rows is None else pd.concat([open_rows, batch], ignore_index=True)
+            new = (both["book"] != both["book"].shift()) | (both["period"] != both["period"].shift())
+            starts = new.to_numpy().nonzero()[0].tolist()
+            open_rows = both.iloc[starts[-1] :]
+            if len(starts) > 1:
+                yield pd.DataFrame([account(both.iloc[a:b]) for a, b in zip(starts, starts[1:])], columns=names)
+        if open_rows is not None:
+            yield pd.DataFrame([account(open_rows)], columns=names)
 
-    return t.unionByName(m).groupBy("book").applyInPandas(run, SCHEMA)
+    return t.unionByName(m).repartition("book").sortWithinPartitions("book", "period", "step", "name").mapInPandas(run, SCHEMA)

@@ -129,9 +129,14 @@ def exposure(weights: DataFrame, by: list[str], w: str) -> DataFrame:
 
 def stability(sets: DataFrame, date_idx: str, name: str) -> DataFrame:
     """Jaccard index of each date's names with those of the date before."""
-    s = sets.groupBy(F.col(date_idx).alias("d")).agg(F.collect_set(name).alias("_s"))
-    before = F.lag("_s").over(Window.orderBy("d"))
-    return s.withColumn("_b", before).where("_b is not null").select("d", ratio(F.size(F.array_intersect("_s", "_b")), F.size(F.array_union("_s", "_b"))).alias("jaccard"))
+    now = sets.select(F.col(date_idx).alias("d"), name).distinct()
+    sizes = now.groupBy("d").agg(F.count(name).alias("_n"))
+    dates = sizes.select("d", "_n", F.lag("d").over(Window.orderBy("d")).alias("_before"), F.lag("_n").over(Window.orderBy("d")).alias("_m")).where("_before is not null")
+    # names that are in both dates: joined by date and name, never gathered
+    then = now.select(F.col("d").alias("_before"), name)
+    common = now.join(dates, "d").join(then, ["_before", name], "left_semi").groupBy("d").agg(F.count(F.lit(1)).alias("_c"))
+    c = F.coalesce("_c", F.lit(0))
+    return dates.join(common, "d", "left").select("d", ratio(c, F.col("_n") + F.col("_m") - c).alias("jaccard"))
 
 
 def break_even_bps(df: DataFrame, gross: str, one_way: str) -> DataFrame:

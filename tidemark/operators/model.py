@@ -55,10 +55,25 @@ def least_z(z: DataFrame, factor: str, order: str) -> DataFrame:
     return z.agg(F.min_by(F.struct(factor, "z"), F.struct("z", order)).alias("_m")).select("_m.*")
 
 
-def boost(observations: DataFrame, factors: list[str], label: str, rounds: int, bins: int, save=None) -> list[dict]:
+def weight_digest(state: DataFrame, weight: str = "w") -> str:
+    """Count, sum and xor of the weights' hashes: the multiset of a round's weights, whatever their order; no sort."""
+    h = F.xxhash64(weight)
+    r = state.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first()
+    return f"{r[0]}:{r[1]}:{r[2]}"
+
+
+def trace_hash(trace: list[str]) -> str:
+    """SHA-256 over the rounds' weight digests."""
+    import hashlib
+
+    return hashlib.sha256("\n".join(f"round={i}:{t}" for i, t in enumerate(trace)).encode()).hexdigest()
+
+
+def boost(observations: DataFrame, factors: list[str], label: str, rounds: int, bins: int, save=None, trace: list[str] | None = None) -> list[dict]:
     """Fits `rounds` bin classifiers on wide rank columns; returns [{factor, edges, values, z}].
 
     save(df): cuts lineage between rounds by writing to shared storage (checkpoint() if not given).
+    trace: gets each round's weight_digest.
     """
     n = observations.count()
     if not n:
@@ -90,6 +105,8 @@ def boost(observations: DataFrame, factors: list[str], label: str, rounds: int,
         total = weighed.agg(F.sum("w")).first()[0]
         state = weighed.withColumn("w", F.col("w") / total)
         state = save(state) if save else state.checkpoint()
+        if trace is not None:
+            trace.append(weight_digest(state))
         model.append({"factor": factors[best], "edges": edges[factors[best]], "values": values, "z": z[best]})
     return model
 
@@ -147,6 +164,41 @@ def select_hedge(periods: DataFrame, fit, metric: str, lookback: int, below: flo
 # -- ensembles ----------------------------------------------------------------
 
 
+def pooled(frame: DataFrame, selected: DataFrame, period: str) -> DataFrame:
+    """The rows of the selected periods, unweighted: boosting starts from equal weights."""
+    if not selected.take(1):
+        raise ValueError("no period is selected")
+    wanted = selected.select(period).distinct()
+    missing = wanted.join(frame.select(period).distinct(), period, "left_anti").limit(5).collect()
+    if missing:
+        raise ValueError(f"selected periods have no rows: {[r[0] for r in missing]}")
+    return frame.join(wanted, period, "left_semi")
+
+
+def train_ensemble(frame: DataFrame, experts: dict[str, DataFrame], period: str, factors: list[str], label: str, rounds: int, bins: int, save=None) -> tuple[dict[str, list[dict]], list[tuple[str, str]]]:
+    """(a model for each expert by name, experts left out with the reason): all with the same settings.
+
+    experts: name to its selected periods. An expert without periods is left
+    out and listed; one whose periods the frame lacks is an error.
+    """
+    models, dropped = {}, []
+    for name in sorted(experts):
+        if not experts[name].take(1):
+            dropped.append((name, "no period is selected"))
+            continue
+        models[name] = boost(pooled(frame, experts[name], period), factors, label, rounds, bins, save)
+    return models, dropped
+
+
+def expert_scores(observations: DataFrame, models: dict[str, list[dict]], keys: list[str]) -> DataFrame:
+    """keys, component, v: each expert's score, in the long form that combine() takes."""
+    out = observations
+    for name, m in models.items():
+        out = predict(out, m, f"_score_{name}")
+    rows = F.array(*[F.struct(F.lit(name).alias("component"), F.col(f"_score_{name}").alias("v")) for name in models])
+    return out.select(*keys, F.explode(rows).alias("_s")).select(*keys, "_s.*")
+
+
 def equal_weights(components: DataFrame, component: str) -> DataFrame:
     return components.select(component).distinct().withColumn("weight", F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy()))
 

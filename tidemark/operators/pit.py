@@ -79,12 +79,26 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     """
     need_columns(left, [*by, left_time])
     need_columns(right, [*by, right_time, *ties])
+    line = [F.col("_t"), F.col("_side"), F.col("_ties")]
+    return _carried(left, right, by, left_time, right_time, ties, lag, known_as, line)
+
+
+def next_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str) -> DataFrame:
+    """For each left row the right row of its group with the smallest time > left_time; the mirror of asof_join."""
+    need_columns(left, [*by, left_time])
+    need_columns(right, [*by, right_time])
+    line = [F.col("_t").desc(), F.col("_side").desc(), F.col("_ties")]
+    return _carried(left, right, by, left_time, right_time, [right_time], dt.timedelta(0), right_time, line)
+
+
+def _carried(left, right, by, left_time, right_time, ties, lag, known_as, line) -> DataFrame:
+    """Both sides on one time line in the order `line`; each left row gets the last right row before it."""
     rest = [c for c in right.columns if c not in by]
     held = F.struct(*[F.col(c) for c in rest])
     r = right.where(F.col(right_time).isNotNull()).select(*by, (F.col(right_time) + F.expr(_seconds(lag))).alias("_t"), F.lit(0).alias("_side"), F.struct(*ties).alias("_ties"), F.lit(None).cast(left_struct(left, by)).alias("_l"), held.alias("_r"))
     lcols = [c for c in left.columns if c not in by]
     lead = left.select(*by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(r.schema["_ties"].dataType).alias("_ties"), F.struct(*lcols).alias("_l"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"))
-    w = Window.partitionBy(*by).orderBy("_t", "_side", "_ties").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by).orderBy(*line).rowsBetween(Window.unboundedPreceding, 0)
     carried = r.unionByName(lead).withColumn("_m", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
     out = [F.col(f"_m.{c}").alias(known_as if c == right_time else c) for c in rest]
     return carried.select(*by, "_l.*", *out)
@@ -145,17 +159,16 @@ def step_lookup(df: DataFrame, steps: DataFrame, by: list[str], day: str, step_d
 
 
 def first_event_in(df: DataFrame, events: DataFrame, by: list[str], row_id: str, after: str, through: str, event: str) -> DataFrame:
-    """The earliest event with after < event <= through, if any."""
+    """The earliest event with after < event <= through, if any: the next event after each row, kept if it is in time."""
     e = events.select(*by, F.col(event).alias("_event"), F.struct(*[c for c in events.columns if c not in by]).alias("_e"))
-    hit = df.join(e, by).where((F.col("_event") > F.col(after)) & (F.col("_event") <= F.col(through))).groupBy(row_id).agg(F.min_by("_e", "_event").alias("first_event"))
-    return df.join(hit, row_id, "left")
+    j = next_join(df, e, by, after, "_event")
+    return j.withColumn("first_event", F.when(F.col("_event") <= F.col(through), F.col("_e"))).drop("_event", "_e")
 
 
 def last_day_in(df: DataFrame, days: DataFrame, by: list[str], row_id: str, start: str, through: str, day: str) -> DataFrame:
     """The last day of a group within [start, through]."""
-    d = days.select(*by, F.col(day).alias("_d"))
-    hit = df.join(d, by).where(F.col("_d").between(F.col(start), F.col(through))).groupBy(row_id).agg(F.max("_d").alias("last_day"))
-    return df.join(hit, row_id, "left")
+    j = asof_join(df, days.select(*by, F.col(day).alias("_d")), by, through, "_d", ["_d"], known_as="_d")
+    return j.withColumn("last_day", F.when(F.col("_d") >= F.col(start), F.col("_d"))).drop("_d")
 
 
 def exchange_rate(df: DataFrame, fx: DataFrame, day: str, base: str, quote: str) -> DataFrame:

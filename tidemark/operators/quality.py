@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.finite import covered
+from .pit import asof_join, next_join
 
 
 def duplicates(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -31,6 +32,18 @@ def stale_runs(df: DataFrame, by: list[str], order: list[str], v: str, least: in
     return g.where(F.col("run_length") >= least).drop("_i")
 
 
+def spells(df: DataFrame, by: list[str], order: str, state: str) -> DataFrame:
+    """Run-length encoding of a state path: by, state, spell_start, spell_end, steps.
+
+    A spell ends where the state changes or the order, a whole number, skips a step.
+    """
+    w = Window.partitionBy(*by).orderBy(order)
+    same = F.col(state).eqNullSafe(F.lag(state).over(w)) & (F.lag(order).over(w) == F.col(order) - 1)
+    island = F.sum((~F.coalesce(same, F.lit(False))).cast("int")).over(w)
+    g = df.withColumn("_i", island).groupBy(*by, "_i", state)
+    return g.agg(F.min(order).alias("spell_start"), F.max(order).alias("spell_end"), F.count(F.lit(1)).alias("steps")).drop("_i")
+
+
 def negative_volume(df: DataFrame, v: str) -> DataFrame:
     return df.where(F.col(v) < 0)
 
@@ -73,11 +86,10 @@ def orphan_lineage(factors: DataFrame, actions: DataFrame) -> DataFrame:
 
 def split_against_jump(actions: DataFrame, bars: DataFrame, by: str, event: str, close: str, tolerance: float) -> DataFrame:
     """Splits whose price jump is further than `tolerance` (as a logarithm) from the ratio."""
+    a = actions.select(by, "action_id", "effective_date", "ratio", F.date_sub("effective_date", 1).alias("_eve"))
     b = bars.select(by, F.col(event).alias("_e"), F.col(close).alias("_c"))
-    j = actions.join(b, by)
-    before = F.max_by("_c", F.when(F.col("_e") < F.col("effective_date"), F.col("_e")))
-    after = F.min_by("_c", F.when(F.col("_e") >= F.col("effective_date"), F.col("_e")))
-    g = j.groupBy(by, "action_id", "effective_date", "ratio").agg(before.alias("before"), after.alias("after"))
+    g = asof_join(a, b, [by], "_eve", "_e", ["_e"], known_as="_e").withColumnRenamed("_c", "before").drop("_e")
+    g = next_join(g, b, [by], "_eve", "_e").withColumnRenamed("_c", "after").drop("_e", "_eve")
     return g.where(F.abs(F.log(F.col("before") / F.col("after")) - F.log("ratio")) > tolerance)
 
 

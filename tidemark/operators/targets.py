@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import xsec
+
 from .pit import exchange_rate, step_lookup
 
 #: How an execution mode shifts the day, and the price it starts at.
@@ -12,6 +16,104 @@ MODES = {"same_close": (0, "close"), "one_day_lag": (1, "close"), "next_open": (
 HORIZONS = {"1M": ("month_end", 1), "3M": ("month_end", 3), "1W": ("weekly", 1), "4W": ("weekly", 4)}
 
 
+#: The groups a return is compared in, the fields a basis is measured from and to, and weekdays.
+GROUPS = ("universe", "neutralization_cell", "country_demeaned", "sector_region_residual")
+BASES = {"close_to_close": ("close", "close"), "open_to_close": ("open", "close"), "open_to_open": ("open", "open")}
+ANCHORS = ("MON", "TUE", "WED", "THU", "FRI")
+
+
+class TargetError(ValueError):
+    """A family of targets that contradicts itself."""
+
+
+@dataclass(frozen=True)
+class TargetFamily:
+    """What a label is measured on, and how; `problems` names every contradiction, not only the first."""
+
+    horizon: str = "1M"
+    grid: str = "month_end"
+    anchor: str | None = None
+    group: str = "universe"
+    demean: str | None = None  # equal or cap, for country_demeaned
+    vol_window: int | None = None  # weeks; none: not scaled
+    vol_least: int | None = None
+    neutral_first: bool | None = None
+    cell_rank: bool = False
+    top: float = 0.3
+    middle: float = 0.4
+    bottom: float = 0.3
+    mode: str = "same_close"
+    delay: int | None = None  # days, for t_plus_k
+    basis: str = "close_to_close"
+    embargo: float = 1.0
+    lag_steps: int | None = None
+
+    def problems(self) -> list[str]:
+        out = []
+        if HORIZONS.get(self.horizon, ("",))[0] != self.grid:
+            out.append(f"horizon {self.horizon} does not belong to grid {self.grid}")
+        if self.grid == "weekly" and self.anchor not in ANCHORS:
+            out.append("a weekly grid needs its weekday")
+        if abs(self.top + self.middle + self.bottom - 1) > 1e-9:
+            out.append("label shares do not add up to 1")
+        if not (0 < self.top < 1 and 0 < self.bottom < 1):
+            out.append("top and bottom shares lie between 0 and 1")
+        if self.group not in GROUPS:
+            out.append(f"unknown comparison group {self.group}")
+        if self.vol_window is not None and self.grid != "weekly":
+            out.append("only weekly targets are scaled by weekly volatility")
+        if self.vol_window is not None and (self.vol_least is None or self.vol_least < 2):
+            out.append("volatility needs a least history of two weeks or more")
+        if self.vol_window is not None and self.group == "sector_region_residual" and self.neutral_first is None:
+            out.append("scaling and neutralising need an order")
+        if self.cell_rank and self.group != "neutralization_cell":
+            out.append("ranks within cells need cells")
+        if self.group == "country_demeaned" and self.demean not in ("equal", "cap"):
+            out.append("country means are equal- or cap-weighted")
+        if self.mode not in (*MODES, "t_plus_k"):
+            out.append(f"unknown execution mode {self.mode}")
+        if (self.mode == "t_plus_k") != (self.delay is not None and self.delay >= 1):
+            out.append("a delay of a day or more belongs to t_plus_k, and to it alone")
+        if self.basis not in BASES:
+            out.append(f"unknown return basis {self.basis}")
+        elif BASES[self.basis][0] != MODES.get(self.mode, (0, "close"))[1]:
+            out.append("a return is measured from the price at which the mode executes")
+        if self.embargo < 0:
+            out.append("an embargo is not negative")
+        if self.lag_steps is not None and self.lag_steps < 0:
+            out.append("a training lag is not negative")
+        return out
+
+    def check(self) -> None:
+        if found := self.problems():
+            raise TargetError("; ".join(found))
+
+
+def labelled(df: DataFrame, family: TargetFamily, by: list[str], v: str, key: str, cell: str = "cell", cap: str = "cap", vol: str = "vol", out: str = "label") -> DataFrame:
+    """Labels of a cross-section by the family's comparison group; `transformed` is the value they were cut from.
+
+    universe: shares of all names of a date. neutralization_cell: of each cell.
+    country_demeaned: of returns less their cell's mean. sector_region_residual:
+    strict thresholds on the percent rank of (volatility-scaled) residuals.
+    """
+    family.check()
+    cut = lambda d, where, x: xsec.quantile_labels(d, where, x, key, family.bottom, family.top, out)
+    if family.group == "universe":
+        return cut(df.withColumn("transformed", F.col(v)), by, "transformed")
+    if family.group == "neutralization_cell":
+        df = df.where(F.col(cell).isNotNull())
+        made = xsec.pctrank(df, [*by, cell], v, key, "transformed") if family.cell_rank else df.withColumn("transformed", F.col(v))
+        return cut(made, [*by, cell], v)
+    if family.group == "country_demeaned":
+        return cut(xsec.demean(df, [*by, cell], v, cap if family.demean == "cap" else None, "transformed"), by, "transformed")
+    if family.vol_window is not None:
+        df = scaled_and_demeaned(df, [*by, cell], v, vol, bool(family.neutral_first), "_residual")
+    else:
+        df = xsec.demean(df, [*by, cell], v, None, "_residual")
+    ranked = xsec.pctrank(df, by, "_residual", key, "transformed").drop("_residual")
+    return xsec.threshold_labels(ranked, "transformed", family.bottom, 1 - family.top, out)
+
+
 def point_timing(grid: DataFrame, days: DataFrame, day: str, horizon: int, shift: int) -> DataFrame:
     """idx, decision, start_day, end_day, holding_end of each grid point; `complete` is false past the calendar's end."""
     line = Window.orderBy(day)
@@ -44,9 +146,12 @@ def forward_returns(points: DataFrame, prices: DataFrame, factors: DataFrame, te
     j = last_day_in(j, prices.where(F.col(field).isNotNull()).select(by, "event_date"), [by], "row_id", "start_day", "_through", "event_date")
     delisted = F.col("first_event").isNotNull()
     j = j.withColumn("delisted", delisted).withColumn("_close_day", F.when(delisted, F.col("last_day")).otherwise(F.col("end_day")))
-    start = measured_price(j.select("row_id", by, F.col("start_day").alias("_d")), prices, factors, by, "_d", field, factor).select("row_id", F.col("price").alias("_p0"))
-    end = measured_price(j.select("row_id", by, F.col("_close_day").alias("_d")), prices, factors, by, "_d", field, factor).select("row_id", F.col("price").alias("_p1"))
-    j = j.join(start, "row_id", "left").join(end, "row_id", "left")
+    # both days of a point on one time line, priced in one pass
+    ends = F.array(F.struct(F.lit(0).alias("w"), F.col("start_day").alias("d")), F.struct(F.lit(1).alias("w"), F.col("_close_day").alias("d")))
+    both = j.select("row_id", by, F.explode(ends).alias("x")).select("row_id", by, F.col("x.w").alias("_w"), F.col("x.d").alias("_d"))
+    both = measured_price(both, prices, factors, by, "_d", field, factor)
+    priced = both.groupBy("row_id").agg(*[F.max(F.when(F.col("_w") == k, F.col("price"))).alias(f"_p{k}") for k in (0, 1)])
+    j = j.join(priced, "row_id", "left")
     if fx is not None:
         for day, p in (("start_day", "_p0"), ("_close_day", "_p1")):
             j = exchange_rate(j.withColumn("_to", F.lit(base)), fx, day, "currency", "_to").withColumn(p, F.col(p) * F.col("rate")).withColumn(f"{p}_fx", F.col("rate")).drop("rate", "_to")

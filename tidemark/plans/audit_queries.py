@@ -8,7 +8,7 @@ from ..functions.finite import r6
 from ..operators import costs, metrics, portfolio
 from ..sources import provider
 from .base import FACTS, RETURNS, SECTORS, Book, facts, month_returns, sectors, table
-from .model_queries import _L1, _book1
+from .model_queries import _L1, _L2, _LEGS, _book1
 from .panel_queries import _scored
 
 book = Book()
@@ -87,7 +87,8 @@ def effect_decomposition(spark, sf):
     return metrics.effect_steps(stages, "stage", "v").select("stage", r6(F.col("v")).alias("v"), r6(F.col("effect")).alias("effect"))
 
 
-@book.add()
+@book.add(f"""WITH {_L1}{_L2.removeprefix(_LEGS)}, a AS (SELECT m, sum(abs(weight)) AS g FROM l1 GROUP BY 1), b AS (SELECT m, sum(abs(weight)) AS g FROM l2 GROUP BY 1)
+ SELECT m, round(a.g, 6) AS level1, round(b.g, 6) AS level2 FROM a FULL JOIN b USING (m)""")
 def book_levels(spark, sf):
     """Gross of the equal-leg and the signal-weighted book, month by month: both must be the asked one."""
     s = _scored(spark, sf)

@@ -196,7 +196,7 @@ def l2_capped(spark, sf):
 
 @book.add()
 def l3_portfolio(spark, sf):
-    s = _scored(spark, sf).withColumn("var", F.lit(0.04)).join(F.broadcast(sectors(spark, sf)), "security_id")
+    s = _scored(spark, sf).withColumn("var", F.lit(0.04)).join(sectors(spark, sf), "security_id")
     b = portfolio.level3(s, ["m"], "security_id", "score", 0.1, 2.0, groups=["sector"], group_net=0.1, variance="var")
     return b.select("m", "security_id", F.round("weight", 4).alias("weight"), "status")
 
@@ -239,7 +239,7 @@ def covariance_all(spark, sf):
 
 
 def _trades(spark, sf) -> DataFrame:
-    b = _book1(spark, sf).join(F.broadcast(sectors(spark, sf)), "security_id")
+    b = _book1(spark, sf).join(sectors(spark, sf), "security_id")
     return b.select(F.col("m").alias("date"), "security_id", (F.col("weight") * 1e6).alias("notional"), (F.col("market_cap") * 10).alias("adv"), F.lit(10.0).alias("spread_bps"), F.when(F.col("sector") == 1, "latam").otherwise("core").alias("region"))
 
 
@@ -272,16 +272,22 @@ def break_even(spark, sf):
     return metrics.break_even_bps(g, "gross", "one_way").select(F.round("break_even_bps", 4).alias("break_even_bps"))
 
 
-@book.add()
+@book.add(f"""WITH RECURSIVE {_L1}, b AS (SELECT m, security_id, weight AS w, fwd AS r FROM l1 WHERE fwd IS NOT NULL), p AS (SELECT m, row_number() OVER (ORDER BY m) AS i FROM (SELECT DISTINCT m FROM b)), x AS (SELECT p.i, b.* FROM b JOIN p USING (m)),
+ u AS (SELECT coalesce(a.i, z.i + 1) AS i, coalesce(a.w, 0.0) AS w, coalesce(z.w * (1 + z.r), 0.0) AS d FROM x a FULL JOIN x z ON z.i + 1 = a.i AND z.security_id = a.security_id), l AS (SELECT i, list({{'w': w, 'd': d}}) AS ps FROM u GROUP BY i),
+ s AS (SELECT i, m, g, f, ps FROM (SELECT i, m, sum(w * r) AS g, sum(CASE WHEN w < 0 THEN -w * (1 + r) ELSE 0.0 END) * 0.005 * 30 / 365 AS f FROM x GROUP BY i, m) JOIN l USING (i)),
+ n(i, m, nav0, cost, gross, borrow, nav1) AS (SELECT i, m, CAST(1000 AS DOUBLE), c, g * 1000, f * 1000, 1000 * (1 + g - f) - c FROM (SELECT *, list_sum([0.002 * abs(q.w * 1000) for q in ps]) AS c FROM s WHERE i = 1)
+  UNION ALL SELECT i, m, nav1, c, g * nav1, f * nav1, nav1 * (1 + g - f) - c FROM (SELECT s.i, s.m, s.g, s.f, n.nav1, list_sum([0.002 * abs(q.w * n.nav1 - q.d * n.nav0) for q in s.ps]) AS c FROM n JOIN s ON s.i = n.i + 1))
+ SELECT book, m AS period, round(log10(nav0), 6) AS nav_log10, round(cost / nav0, 6) AS cost_rate, round(gross / nav0, 6) + 0.0 AS gross_rate, round(borrow / nav0, 6) AS borrow_rate, round(nav1 / nav0, 6) AS growth, round((gross - cost - borrow) / nav0, 6) + 0.0 AS ret FROM n, (SELECT unnest(['plain', 'copy']) AS book)""")
 def accounting_ledger(spark, sf):
-    """Two books through time: the equal-leg book at two cost levels."""
+    """Two books through time, as shares of the value at each period's start: the values themselves grow past a double's digits."""
     b = _book1(spark, sf).where("fwd is not null").select(F.col("m").cast("int").alias("period"), F.col("security_id").cast("string").alias("name"), "weight", "fwd")
     names = spark.createDataFrame([("plain",), ("copy",)], "book string")
     marks = month_returns(spark, sf).where("fwd is not null").select(F.col("m").cast("int").alias("period"), F.col("security_id").cast("string").alias("name"), F.col("fwd").alias("ret"))
     t = b.crossJoin(F.broadcast(names)).select("book", "period", "name", "weight")
     m = marks.join(b.select("period", "name"), ["period", "name"], "left_semi").crossJoin(F.broadcast(names)).select("book", "period", F.lit(0).alias("step"), "name", "ret", F.lit(False).alias("terminated"))
     out = ledger.run_ledger(t, m, cost_bps=20, borrow_bps=50)
-    return out.select("book", "period", *[F.round(c, 4).alias(c) for c in ("nav_start", "cost", "gross_pnl", "borrow", "nav_end", "ret")])
+    share = {"cost_rate": "cost", "gross_rate": "gross_pnl", "borrow_rate": "borrow", "growth": "nav_end"}
+    return out.select("book", "period", r6(F.log10("nav_start")).alias("nav_log10"), *[r6(F.col(c) / F.col("nav_start")).alias(k) for k, c in share.items()], r6(F.col("ret")).alias("ret"))
 
 
 @book.add(f"WITH {_L1}, r AS (SELECT m, sum(weight * fwd) AS gross FROM l1 WHERE fwd IS NOT NULL GROUP BY m), c AS (SELECT m, sum(abs(weight)) * 0.002 AS cost FROM l1 GROUP BY m) SELECT r.m AS date, round(gross - cost, 6) + 0.0 AS net FROM r JOIN c USING (m)")

@@ -38,7 +38,7 @@ def xsec_midranks(spark, sf):
 
 @book.add(f"WITH {MONTHLY}, {SECTORS} SELECT m, security_id, sector, round(row_number() OVER (PARTITION BY m, sector ORDER BY close DESC, security_id) / count(*) OVER (PARTITION BY m, sector), 6) AS rank FROM monthly JOIN sectors USING (security_id)")
 def xsec_rank_by_cell(spark, sf):
-    df = monthly(spark, sf).join(F.broadcast(sectors(spark, sf)), "security_id")
+    df = monthly(spark, sf).join(sectors(spark, sf), "security_id")
     return xsec.rank_normalize_by_cell(df, ["m"], "sector", "close", "security_id").select("m", "security_id", "sector", r6(F.col("rank")).alias("rank"))
 
 
@@ -90,7 +90,7 @@ def top_bottom(spark, sf):
 
 @book.add(f"WITH {RETURNS}, {SECTORS} SELECT m, security_id, round(fwd - avg(fwd) OVER (PARTITION BY m, sector), 6) + 0.0 AS demeaned FROM rets JOIN sectors USING (security_id) WHERE fwd IS NOT NULL")
 def group_demean(spark, sf):
-    df = month_returns(spark, sf).where("fwd is not null").join(F.broadcast(sectors(spark, sf)), "security_id")
+    df = month_returns(spark, sf).where("fwd is not null").join(sectors(spark, sf), "security_id")
     return xsec.demean(df, ["m", "sector"], "fwd").select("m", "security_id", r6(F.col("demeaned")).alias("demeaned"))
 
 
@@ -196,11 +196,8 @@ def feat_asset_growth(spark, sf):
 
 def _wide(spark, sf):
     """m, security_id and three ranked features, null where missing."""
-    p = month_returns(spark, sf)
-    out = p.select("m", "security_id", "fwd")
-    for name, v in (("reversal", "past"), ("size", "market_cap"), ("volume", "volume")):
-        out = out.join(xsec.rank_normalize(p, ["m"], v, "security_id", name).select("m", "security_id", name), ["m", "security_id"], "left")
-    return out
+    ranked = xsec.rank_columns(month_returns(spark, sf), ["m"], {"reversal": "past", "size": "market_cap", "_volume": "volume"}, "security_id")
+    return ranked.select("m", "security_id", "fwd", "reversal", "size", F.col("_volume").alias("volume"))
 
 
 _RANKED = RETURNS + """, wide AS (SELECT m, security_id, fwd,
@@ -266,7 +263,7 @@ def rolling_vol(spark, sf):
  SELECT m, security_id, round((fwd - avg(fwd) OVER w) / sd, 5) + 0.0 AS neutral_first, round(fwd / sd - avg(fwd / sd) OVER w, 5) + 0.0 AS scale_first FROM k WINDOW w AS (PARTITION BY m, sector)""")
 def scaled_targets(spark, sf):
     v = targets.weekly_vol(month_returns(spark, sf), "security_id", "m", "close", 12, 6).where("vol is not null and fwd is not null")
-    j = v.join(F.broadcast(sectors(spark, sf)), "security_id")
+    j = v.join(sectors(spark, sf), "security_id")
     j = targets.scaled_and_demeaned(j, ["m", "sector"], "fwd", "vol", True, "a")
     j = targets.scaled_and_demeaned(j, ["m", "sector"], "fwd", "vol", False, "b")
     return j.select("m", "security_id", F.round("a", 5).alias("neutral_first"), F.round("b", 5).alias("scale_first"))
@@ -348,7 +345,7 @@ def ic_decay(spark, sf):
 def group_ic(spark, sf):
     from pyspark.sql import Window
 
-    s = _scored(spark, sf).join(F.broadcast(sectors(spark, sf)), "security_id").withColumn("x", F.avg("score").over(Window.partitionBy("m", "sector")))
+    s = _scored(spark, sf).join(sectors(spark, sf), "security_id").withColumn("x", F.avg("score").over(Window.partitionBy("m", "sector")))
     flat = s.where("fwd is not null").groupBy("m").agg(F.stddev_pop("x").alias("sx")).where("sx > 1e-9")
     series, _ = metrics.ic_series(s.join(flat, "m", "left_semi"), ["m"], "x", "fwd", rank=False)
     return series.select("m", "names", F.round("ic", 5).alias("ic"))

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules() -> list:
-    from . import audit_queries, model_queries, panel_queries, pit_queries, run_queries
+    from . import audit_queries, gap_queries, model_queries, panel_queries, pit_queries, run_queries
 
-    return [pit_queries, panel_queries, model_queries, run_queries, audit_queries]
+    return [pit_queries, panel_queries, model_queries, run_queries, audit_queries, gap_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

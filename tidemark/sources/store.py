@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import json
+import re
 import tempfile
 import uuid
 
@@ -44,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: executors cannot read a folder of the driver's own")
         path = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(path)
         spark.conf.set("spark.checkpoint.dir", path)
