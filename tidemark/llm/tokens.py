@@ -15,7 +15,8 @@ import sys
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = r"[!-~\u00a1-\u012f\u0131-\u024f]+"
 LAST_PLAIN, NOT_PLAIN = "\u024f", "\u0130"
-CHUNKS = 1_000_000
+CACHE_BYTES = 24 << 20  # of remembered chunks in each worker
+ENTRY = 200  # bytes that a dictionary entry takes besides its two strings
 WORD_END = b"\xff"  # a byte that UTF-8 never has
 
 
@@ -68,6 +69,7 @@ class WordEncoder:
         self.find = regex.compile(SPLIT).findall
         self.plain = regex.compile(PLAIN).fullmatch
         self.chunks: dict[bytes, bytes] = {}
+        self.room = CACHE_BYTES
 
     def _split(self, text: str) -> list[str] | None:
         """The pieces of a plain chunk; None sends it to the library."""
@@ -101,8 +103,9 @@ class WordEncoder:
         if new:
             found = dict(zip(new, map(self._encode, new)))
             ids = [found[w] if x is None else x for w, x in zip(chunks, ids)]
-            if len(self.chunks) < CHUNKS:
+            if self.room > 0:
                 self.chunks.update(found)
+                self.room -= sum(map(len, found)) + sum(map(len, found.values())) + ENTRY * len(found)
         flat = np.frombuffer(b"".join(ids), np.uint32)
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         place = np.cumsum(size) - size

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-SLICE = 4 << 20  # bytes of text worked on at a time; one longer text is a slice of its own
+SLICE = 1 << 20  # bytes of text worked on at a time; one longer text is a slice of its own
 
 
 def _state() -> dict:
