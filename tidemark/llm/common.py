@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get().rstrip("/")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: executors cannot read a folder of the driver's own")
         path = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(path)
         return path
@@ -49,11 +55,26 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def shuffles_end_with_the_write(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside are deleted when it has been written, not when the driver collects its garbage."""
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREED)
+        else:
+            spark.conf.set(FREED, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    with shuffles_end_with_the_write(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,8 @@ key (k1, k2). Each batch of documents is aggregated to one row a key; a merge
 anti-join against every run tells which keys are new, and only for new keys the
 batch names an owner; then the batch adds its own run. When a level holds
 `fanout` runs they are merged into one run of the next level. Runs, like the
-batches against them, are bucketed alike, so joins and merges need no shuffle.
+batches against them, are bucketed alike, so the anti-joins need no shuffle; a
+merge deals the keys out once, in buckets of the run that it writes.
 
 Batches arrive in falling doc_id ranges, so a key's owner is the largest doc_id
 that holds it.
@@ -24,10 +25,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, delete_path, scratch, shuffle_tasks
+from .common import SPACES, ascii_lower, delete_path, materialise, scratch, shuffle_tasks, shuffles_end_with_the_write
 
 MIN_CHARS, MIN_DOCS = 40, 5
-SALTS = 8
+HOT_DOCS = 5_000  # a line in more documents is sent to every task, or salted
+HOT_SENT = 100_000  # such lines sent to every task at most
+SALTS = 64
 
 
 def line_key(line: Column) -> Column:
@@ -54,9 +57,11 @@ class LineRuns:
         self.buckets = shuffle_tasks(spark)
         self.levels: list[list[tuple[str, str]]] = []
 
-    def _write(self, rows: DataFrame) -> tuple[str, str]:
+    def _write(self, rows: DataFrame, dealt: bool = False) -> tuple[str, str]:
         name, path = f"line_run_{uuid.uuid4().hex}", scratch(self.spark, "line-run")
-        (rows.repartition(self.buckets, "k1", "k2").write.bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2").option("path", path).saveAsTable(name))
+        rows = rows if dealt else rows.repartition(self.buckets, "k1", "k2")
+        with shuffles_end_with_the_write(self.spark):
+            (rows.write.bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2").option("path", path).saveAsTable(name))
         return name, path
 
     def _drop(self, runs: list[tuple[str, str]]) -> None:
@@ -90,11 +95,10 @@ class LineRuns:
         self.levels[0].append(run)
         self.compact()
 
-    def _merged(self, tables: list[DataFrame]) -> DataFrame:
-        union = tables[0]
-        for t in tables[1:]:
-            union = union.unionByName(t)
-        return union.groupBy("k1", "k2").agg(F.sum("docs").alias("docs"), F.max("owner").alias("owner"))
+    def _merged(self, runs: list[tuple[str, str]]) -> DataFrame:
+        # read as plain files: a union of bucketed scans claims to be dealt by key, but its tasks are the runs' tasks one after another
+        union = self.spark.read.schema("k1 long, k2 long, docs long, owner long").parquet(*[path for _, path in runs])
+        return union.repartition(self.buckets, "k1", "k2").groupBy("k1", "k2").agg(F.sum("docs").alias("docs"), F.max("owner").alias("owner"))
 
     def compact(self, least: int | None = None) -> None:
         """Merge every level that is full into one run of the next."""
@@ -102,7 +106,7 @@ class LineRuns:
         while level < len(self.levels):
             runs = self.levels[level]
             if len(runs) >= (least or self.fanout):
-                merged = self._write(self._merged([self.spark.table(n) for n, _ in runs]))
+                merged = self._write(self._merged(runs), dealt=True)
                 if level + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[level + 1].append(merged)
@@ -111,11 +115,17 @@ class LineRuns:
             level += 1
 
     def merged(self) -> DataFrame:
-        return self._merged(self.tables())
+        return self._merged([run for level in self.levels for run in level])
+
+    def drop(self) -> None:
+        """Forget all runs and delete their tables."""
+        for level in self.levels:
+            self._drop(level)
+        self.levels = []
 
 
 def frequent_lines(docs: DataFrame, batches: int, min_chars: int, min_docs: int, fanout: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(lines: doc_id, k1, k2), (k1, k2, owner of those in at least min_docs documents)."""
+    """(lines: doc_id, k1, k2), (k1, k2, docs, owner of those in at least min_docs documents)."""
     spark = docs.sparkSession
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
     batch = F.lit(0)
@@ -128,17 +138,26 @@ def frequent_lines(docs: DataFrame, batches: int, min_chars: int, min_docs: int,
     runs = LineRuns(spark, fanout)
     for b in range(batches - 1, -1, -1):
         runs.add(lines.where(F.col("batch") == b))
-    return lines, runs.merged().where(F.col("docs") >= min_docs).select("k1", "k2", "owner")
+    frequent = materialise(runs.merged().where(F.col("docs") >= min_docs).select("k1", "k2", "docs", "owner"), "frequent-lines")
+    runs.drop()
+    return lines, frequent
 
 
 def dedup(docs: DataFrame, batches: int = 3, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with text replaced by its kept lines, and n_lines, n_dropped (before: n_lines)."""
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     lines, frequent = frequent_lines(docs.select("doc_id", "text"), batches, min_chars, min_docs)
-    # a hot line is one row of `frequent` and many of `lines`: salted on both sides
-    spread = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    lines = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    gone = lines.join(spread, ["k1", "k2", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("owner")))
+    # a hot line is one row of `frequent` and many of `lines`
+    hot = frequent.where(F.col("docs") > HOT_DOCS)
+    n_hot = hot.count()
+    gone = lines.join(frequent.where(F.col("docs") <= HOT_DOCS), ["k1", "k2"])
+    if n_hot > HOT_SENT:
+        spread = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        gone = gone.unionByName(salted.join(spread, ["k1", "k2", "salt"]).drop("salt"))
+    elif n_hot:
+        gone = gone.unionByName(lines.join(F.broadcast(hot), ["k1", "k2"]))
+    gone = gone.where(~F.col("doc_id").eqNullSafe(F.col("owner")))
     by_doc = gone.groupBy(F.col("doc_id").alias("_ld_id")).agg(F.collect_set(F.struct("k1", "k2")).alias("_ld_gone"))
     joined = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_ld_id")), "left")
     text = F.coalesce(F.col("text"), F.lit(""))
