@@ -322,11 +322,16 @@ def _class_totals(counts: DataFrame, lexicon, shape: Shape):
     return tokens, np.log10(shares)
 
 
+PARTS = 2_048  # of a histogram step that does not fit whole
+
+
 def commonest(counts: DataFrame, most: int):
     """(words, counts), commonest first, of at most `most` words: all above a count that a histogram of logarithms gives.
 
-    Every task sends only words that are in the result, so no more than `most`
-    rows reach the driver, as Arrow columns.
+    The step of the histogram that no longer fits whole is filled from its
+    largest counts on, and the counts where that ends by ranges of the words'
+    hashes. Every task sends only words that are in the result, so no more than
+    `most` rows reach the driver, as Arrow columns.
     """
     import numpy as np
     import pyarrow as pa
@@ -334,15 +339,26 @@ def commonest(counts: DataFrame, most: int):
 
     octave = F.floor(F.log2("c") * 16).cast("int")
     sizes = dict(counts.groupBy(octave.alias("o")).count().collect())  # under a thousand rows
-    least, total = None, 0
-    for o in sorted(sizes, reverse=True):
-        total += sizes[o]
-        if total > most:
+    wanted, room, inside = F.lit(False), most, F.lit(True)
+    low = F.pow(F.lit(2.0), F.floor(F.log2("c") * 16) / 16)
+    part = F.least(F.floor((F.col("c") / low - 1) * PARTS / (2 ** (1 / 16) - 1)), F.lit(PARTS - 1)).cast("int")
+    for steps, key in ((sizes, octave), (None, part), (None, F.pmod(F.xxhash64("word"), F.lit(PARTS)).cast("int"))):
+        if steps is None:  # at most PARTS rows, of the step that did not fit
+            steps = dict(counts.where(inside).groupBy(key.alias("o")).count().collect())
+        cut = None
+        for o in sorted(steps, reverse=True):
+            if steps[o] > room:
+                cut = o
+                break
+            room -= steps[o]
+        if cut is None:
+            wanted |= inside
             break
-        least = o
-    if least is None:
+        wanted |= inside & (key > cut)
+        inside &= key == cut
+    t = counts.where(wanted).select("word", "c").toArrow()
+    if not t.num_rows:
         return pa.array([], pa.binary()), np.zeros(0, np.int64)
-    t = counts.where(octave >= least).select("word", "c").toArrow()
     t = t.take(pc.sort_indices(t, [("c", "descending"), ("word", "ascending")])).combine_chunks()
     return t["word"].combine_chunks(), t["c"].to_numpy()
 
