@@ -5,9 +5,10 @@ document's lines, and its paragraphs and whole text where they have more than
 one line. A template is a candidate for a unit only if the sizes of the two
 bigram sets allow the threshold: dice >= t needs
 size * t / (2 - t) <= template's size <= size * (2 - t) / t.
-Units outside every template's bounds are dropped before bigrams are made;
-bigrams are then joined to the templates' own (a fixed list, broadcast) and
-overlaps counted.
+Units whose size lies in no template's bounds are dropped before their bigrams
+are joined; the join (the templates' own bigrams are broadcast, a list that does
+not grow with the documents) holds each template to its own bounds, and overlaps
+are counted. Full licence texts are given as further templates.
 
 Defined cases: null or empty texts and units under two words have no bigrams
 and match nothing; repeated rows count their units together under one doc_id;
@@ -75,17 +76,16 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int =
     """doc_id, licence, units, shared, size, t_size: the best unit's figures and how many units match that licence."""
     spark = docs.sparkSession
     table = template_table(spark, templates)
-    least, most = table.agg(F.min("t_size"), F.max("t_size")).first()
-    low, high = percent / (200 - percent), (200 - percent) / percent
-    # a unit of n words has at most n - 1 bigrams; one of fewer distinct bigrams is settled by the exact bounds below
-    chars_most = 64 * (int(most * high) + 2)
+    sizes = sorted(r[0] for r in table.select("t_size").distinct().collect())  # one for each template at most
+    if not sizes:
+        raise ValueError("no template has two words")
+    fits = lambda t: ((200 - percent) * t >= percent * F.col("size")) & ((200 - percent) * F.col("size") >= percent * t)
     cut = F.filter(units(F.col("text")), lambda u: F.length(u) >= 3)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(cut).alias("pos", "unit"))
     rows = rows.select("doc_id", F.monotonically_increasing_id().alias("unit_id"), bigrams(normalised(F.col("unit"))).alias("b"))
-    rows = rows.where(F.size("b").between(int(least * low), int(most * high) + 1))
-    rows = rows.select("doc_id", "unit_id", F.size("b").alias("size"), F.explode("b").alias("h"))
-    bounds = (100 * F.col("t_size") * 2 >= F.lit(0)) & ((200 - percent) * F.col("t_size") >= percent * F.col("size")) & ((200 - percent) * F.col("size") >= percent * F.col("t_size"))
-    found = rows.join(F.broadcast(table), "h").where(bounds).groupBy("doc_id", "unit_id", "size", "licence", "t_size").agg(F.count(F.lit(1)).alias("shared"))
+    rows = rows.withColumn("size", F.size("b")).where(F.exists(F.array(*[F.lit(t) for t in sizes]), fits))
+    rows = rows.select("doc_id", "unit_id", "size", F.explode("b").alias("h"))
+    found = rows.join(F.broadcast(table), "h").where(fits(F.col("t_size"))).groupBy("doc_id", "unit_id", "size", "licence", "t_size").agg(F.count(F.lit(1)).alias("shared"))
     found = found.where(200 * F.col("shared") >= percent * (F.col("size") + F.col("t_size")))
     score = F.col("shared") * 2 / (F.col("size") + F.col("t_size"))
     best = F.max(F.struct(score.alias("dice"), F.col("shared"), F.col("size"), F.col("t_size")))
