@@ -12,7 +12,8 @@ at least its left neighbour's less one, so only places where that chain breaks
 are compared), and marks windows with a neighbour that shares `length` bytes.
 An anchor with more runs than a shard holds is split over several shards;
 each writes the sorted fingerprints of its distinct windows, and these are
-merged by binary search, by fingerprint range.
+merged two by two by binary search, by fingerprint range; the ranges of an
+anchor grow with its runs.
 
 Runs that are the same string are counted before anything is shuffled to a
 shard, so copies cost one row each and no shard sees them twice.
@@ -29,13 +30,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete_path, materialise, scratch
+from .common import delete_path, materialise, scratch, shuffles_end_with_the_write
 
 LENGTH, GRAM = 400, 24
 RUN_MOST = 512  # windows of a run at most; bounds a run's text
 SHARD_BYTES = 1_000_000
 HOT_RUNS = 1_200  # runs of an anchor that one shard takes
-RANGES = 64  # fingerprint ranges of a split anchor
+RANGES = 64  # fingerprint ranges of a split anchor at least
+RANGE_RUNS = 1_000  # runs of a split anchor for each of its ranges, above that
 
 
 def _prefix(values, data):
@@ -260,12 +262,10 @@ def _shard(length: int):
         place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         at = starts[which] + place
         marked = repeated[at] | copies[which]
-        edge = np.diff(np.concatenate(([0], marked.astype(np.int8), [0])))
         # intervals end at run ends too
         same = np.append(which[1:] == which[:-1], False)
         opens = marked & ~np.concatenate(([False], (marked[:-1] & same[:-1])))
         closes = marked & ~np.append(marked[1:] & same[:-1], False)
-        del edge
         o, c = np.flatnonzero(opens), np.flatnonzero(closes)
         keys = [table.column(k).to_numpy() for k in ("anchor", "c1", "c2")]
         rows = [k[which[o]] for k in keys] + [place[o], place[c] + 1]
@@ -277,7 +277,8 @@ def _shard(length: int):
         w = np.flatnonzero(hot[which] & first[at])
         if len(w):
             f1, f2 = _prints(data, at[w], at[w] + length)
-            part = (f1 >> np.uint64(58)).astype(np.int64) % RANGES
+            ranges = table.column("ranges").to_numpy()[which[w]].astype(np.uint64)
+            part = ((f1 >> np.uint64(32)) * ranges >> np.uint64(32)).astype(np.int64)
             order = np.lexsort((f1, part, keys[0][which[w]]))
             w, f1, f2, part = w[order], f1[order], f2[order], part[order]
             anchor = keys[0][which[w]]
@@ -293,23 +294,25 @@ def _shard(length: int):
 
 
 def _merge(table):
-    """Windows of a split anchor that two shards hold: each shard's sorted fingerprints are looked up in those merged so far."""
+    """Windows of a split anchor that two shards hold: sorted fingerprints are looked up in each other, two by two."""
     import numpy as np
     import pyarrow as pa
 
     kind = np.dtype([("f1", "<u8"), ("f2", "<u8"), ("c1", "<i8"), ("c2", "<i8"), ("at", "<i4"), ("done", "<i4")])
     runs = [np.frombuffer(b.as_py(), kind) for b in table.column("prints")]
     anchor = table.column("anchor")[0].as_py()
-    merged, found = runs[0], []
-    for r in runs[1:]:
-        at = np.searchsorted(merged["f1"], r["f1"])
-        inside = at < len(merged)
-        hit = np.zeros(len(r), bool)
-        hit[inside] = (merged["f1"][at[inside]] == r["f1"][inside]) & (merged["f2"][at[inside]] == r["f2"][inside])
-        found += [r[hit], merged[at[hit]]]
-        both = np.concatenate((merged, r[~hit]))
-        merged = both[np.argsort(both["f1"], kind="stable")]
-    rows = np.concatenate(found) if found else runs[0][:0]
+    found = [runs[0][:0]]
+    while len(runs) > 1:
+        merged = [runs[-1]] if len(runs) % 2 else []
+        for a, b in zip(runs[0::2], runs[1::2]):
+            at = np.searchsorted(a["f1"], b["f1"])
+            inside = at < len(a)
+            hit = np.zeros(len(b), bool)
+            hit[inside] = (a["f1"][at[inside]] == b["f1"][inside]) & (a["f2"][at[inside]] == b["f2"][inside])
+            found += [b[hit], a[at[hit]]]
+            merged.append(np.insert(a, at[~hit], b[~hit]))
+        runs = merged
+    rows = np.concatenate(found)
     rows = np.unique(rows[rows["done"] == 0])
     return pa.Table.from_arrays([pa.array(np.full(len(rows), anchor, np.int64)), pa.array(rows["c1"]), pa.array(rows["c2"]), pa.array(rows["at"], pa.int32()), pa.array(rows["at"] + 1, pa.int32())], names=["anchor", "c1", "c2", "lo", "hi"])
 
@@ -321,7 +324,8 @@ def repeated_spans(source: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     spark = source.sparkSession
     path = scratch(spark, "runs")
-    run_table(source, length).write.parquet(path)
+    with shuffles_end_with_the_write(spark):
+        run_table(source, length).write.parquet(path)
     every = spark.read.schema("anchor long, c1 long, c2 long, doc_id long, h long, at int, n int, twice boolean").parquet(path)
     again = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.max("twice").alias("twice")).where("times > 1 or twice").select("anchor")
     runs = materialise(every.drop("twice").join(again, "anchor", "left_semi"), "repeated-anchors")
@@ -336,11 +340,13 @@ def repeated_spans(source: DataFrame, length: int = LENGTH) -> DataFrame:
     hot = F.col("kinds") > HOT_RUNS
     part = F.pmod(F.xxhash64("c1", "c2"), F.ceil(F.col("kinds") / HOT_RUNS))
     shard = F.when(hot, F.xxhash64("anchor", part)).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    wanted = several.select(F.col("rep.doc_id").alias("r_id"), F.col("rep.h").alias("r_h"), F.struct("anchor", "c1", "c2", "copies", "n", F.col("rep.at").alias("at"), hot.alias("hot"), shard.alias("shard")).alias("k"))
+    ranges = F.greatest(F.lit(RANGES), F.ceil(F.col("kinds") / RANGE_RUNS)).cast("int")
+    wanted = several.select(F.col("rep.doc_id").alias("r_id"), F.col("rep.h").alias("r_h"), F.struct("anchor", "c1", "c2", "copies", "n", F.col("rep.at").alias("at"), hot.alias("hot"), shard.alias("shard"), ranges.alias("ranges")).alias("k"))
     wanted = wanted.groupBy("r_id", "r_h").agg(F.collect_list("k").alias("ks"))
-    texts = source.dropDuplicates(["doc_id", "h"]) if False else source
-    cut = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("h") == F.col("r_h"))).select("t", F.explode("ks").alias("k"))
-    bodies = cut.select("k.anchor", "k.c1", "k.c2", "k.copies", "k.n", "k.hot", "k.shard", F.substring(F.col("t"), F.col("k.at") + 1, F.col("k.n") + length - 1).alias("body"))
+    cut = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("h") == F.col("r_h"))).select("t", F.explode("ks").alias("k"))
+    bodies = cut.select("k.anchor", "k.c1", "k.c2", "k.copies", "k.n", "k.hot", "k.shard", "k.ranges", F.substring(F.col("t"), F.col("k.at") + 1, F.col("k.n") + length - 1).alias("body"))
+    if source.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").take(1):
+        bodies = bodies.dropDuplicates(["anchor", "c1", "c2"])  # a row and its repeat each gave the string
     found = bodies.groupBy("shard").applyInArrow(_shard(length), "kind int, anchor long, c1 long, c2 long, lo int, hi int, range int, prints binary")
     found = materialise(found, "shards")
     merged = found.where("kind = 1").groupBy("anchor", "range").applyInArrow(_merge, "anchor long, c1 long, c2 long, lo int, hi int")
@@ -349,7 +355,7 @@ def repeated_spans(source: DataFrame, length: int = LENGTH) -> DataFrame:
     marks = found.where("kind = 0").select("anchor", "c1", "c2", "lo", "hi").unionByName(merged).unionByName(lone)
     marks = marks.groupBy("anchor", "c1", "c2").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
     spans = runs.join(marks, ["anchor", "c1", "c2"]).select("doc_id", "h", F.explode(F.transform("marks", lambda m: F.struct((F.col("at") + m["lo"]).alias("a"), (F.col("at") + m["hi"] + length - 1).alias("b")))).alias("s"))
-    return spans.groupBy("doc_id", "h").agg(F.collect_list("s").alias("spans"))
+    return spans.groupBy("doc_id", "h").agg(F.collect_set("s").alias("spans"))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -358,7 +364,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError("strings must be longer than an anchor's gram")
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("t"))
-    spans = repeated_spans(source, length).select(F.col("doc_id").alias("s_id"), F.col("h").alias("s_h"), F.array_distinct("spans").alias("spans"))
+    spans = repeated_spans(source, length).select(F.col("doc_id").alias("s_id"), F.col("h").alias("s_h"), "spans")
     joined = source.join(spans, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("h") == F.col("s_h")), "left").select("doc_id", "t", "spans")
 
     def run(batches: Iterator) -> Iterator:
