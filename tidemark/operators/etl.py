@@ -76,11 +76,12 @@ def merge_interval_vintages(df: DataFrame, key: list[str], end: str, knowledge:
 def adjustment_factors(actions: DataFrame, by: str, day: str, order: list[str], split: str, payout: str, announced: str, action_id: str) -> DataFrame:
     """Running products by action date: splits, and total return with payout; knowledge and lineage run along.
 
-    The product is a fold over the ordered factors: exact, where exp(sum(log))
-    would round. Several actions of one date give one row.
+    The product multiplies along the order, one step a row: exact, where
+    exp(sum(log)) would round. Several actions of one date give one row. Only
+    the lineage lists, which the table asks for, grow with the history.
     """
     w = Window.partitionBy(by).orderBy(day, *order).rowsBetween(Window.unboundedPreceding, 0)
-    product = lambda c: F.aggregate(F.collect_list(c).over(w), F.lit(1.0), lambda a, x: a * x)
+    product = lambda c: F.coalesce(F.product(c).over(w), F.lit(1.0))
     run = actions.select(by, day, *order, product(F.col(split)).alias("split_factor_cum"), product(F.col(split) * F.col(payout)).alias("total_return_factor_cum"), F.max(announced).over(w).alias("knowledge_time"), F.collect_list(action_id).over(w).alias("derived_from_action_ids"), F.count(F.lit(1)).over(w).alias("_k"))
     rest = ["split_factor_cum", "total_return_factor_cum", "knowledge_time", "derived_from_action_ids"]
     return run.groupBy(by, day).agg(F.max_by(F.struct(*rest), "_k").alias("_l")).select(by, day, "_l.*")

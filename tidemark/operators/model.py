@@ -16,11 +16,16 @@ from ..functions.finite import bins_below, ratio
 
 
 def equal_count_edges(panel: DataFrame, factor: str, v: str, key: list[str], bins: int) -> DataFrame:
-    """factor, edges: the values at places ceil(j n / bins), j = 1 .. bins - 1."""
-    w = Window.partitionBy(factor).orderBy(v, *key)
-    n = F.count(F.lit(1)).over(Window.partitionBy(factor))
-    ranked = panel.where(F.col(v).isNotNull()).select(factor, v, F.row_number().over(w).alias("_k"), n.alias("_n"))
-    hit = ranked.withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(bins - 1)))).where(F.col("_k") == F.ceil(F.col("_j") * F.col("_n") / bins))
+    """factor, edges: the values at places ceil(j n / bins), j = 1 .. bins - 1; ties (by key) have one value.
+
+    Values are counted before any is ordered: a factor's task sees its distinct
+    values, not its rows.
+    """
+    counts = panel.where(F.col(v).isNotNull()).groupBy(factor, v).agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(factor).orderBy(v).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumns({"_k": upto, "_n": F.sum("_c").over(Window.partitionBy(factor))})
+    place = F.ceil(F.col("_j") * F.col("_n") / bins)
+    hit = placed.withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(bins - 1)))).where((place <= F.col("_k")) & (place > F.col("_k") - F.col("_c")))
     return hit.groupBy(factor).agg(F.transform(F.array_sort(F.collect_list(F.struct("_j", v))), lambda x: x[v]).alias("edges"))
 
 

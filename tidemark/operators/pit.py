@@ -110,8 +110,11 @@ def left_struct(left: DataFrame, by: list[str]):
     return T.StructType([f for f in left.schema.fields if f.name not in by])
 
 
-def asof_join_ranged(left: DataFrame, right: DataFrame, by: list[str], row_id: str, left_time: str, right_time: str, ties: list[str]) -> DataFrame:
-    """The same answer by range join and max_by: for right sides that are short in each group."""
+def asof_join_ranged(left: DataFrame, right: DataFrame, by: list[str], row_id: str, left_time: str, right_time: str, ties: list[str], most: int = 1_000) -> DataFrame:
+    """The same answer by range join and max_by: for right sides that are short in each group; refused where one has over `most` rows."""
+    long = right.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).limit(1).collect()
+    if long:
+        raise PitError(f"a group of the right side has {long[0]['_n']} rows; asof_join takes any number")
     rest = [c for c in right.columns if c not in by]
     r = right.select(*by, F.struct(*rest).alias("_r"), F.col(right_time).alias("_t"), F.struct(right_time, *ties).alias("_k"))
     joined = left.join(r, [*by], "left").where(F.col("_t").isNull() | (F.col("_t") <= F.col(left_time)))
