@@ -74,46 +74,77 @@ def trace_hash(trace: list[str]) -> str:
     return hashlib.sha256("\n".join(f"round={i}:{t}" for i, t in enumerate(trace)).encode()).hexdigest()
 
 
+#: Rounds between two writes of the weights: a chain of that many stays one expression.
+CHAIN = 5
+
+
 def boost(observations: DataFrame, factors: list[str], label: str, rounds: int, bins: int, save=None, trace: list[str] | None = None) -> list[dict]:
     """Fits `rounds` bin classifiers on wide rank columns; returns [{factor, edges, values, z}].
 
-    save(df): cuts lineage between rounds by writing to shared storage (checkpoint() if not given).
+    save(df): cuts lineage by writing to shared storage (checkpoint() if not given).
     trace: gets each round's weight_digest.
     """
-    n = observations.count()
-    if not n:
-        raise ValueError("no labelled observations")
-    edges = {}
-    for f in factors:
-        at = observations.where(F.col(f).isNotNull()).select(F.col(f).alias("v"), F.lit("f").alias("f"))
-        row = equal_count_edges(at, "f", "v", [], bins).first()
-        if row is None:
-            raise ValueError(f"factor {f} covers no observation")
-        edges[f] = list(row["edges"])
-    cols = [F.when(F.col(f).isNotNull(), bins_below(F.array(*[F.lit(float(e)) for e in edges[f]]), F.col(f))).alias(f"b_{i}") for i, f in enumerate(factors)]
-    state = observations.select(F.col(label).alias("y"), *cols, F.lit(1.0 / n).alias("w"))
-    state = save(state) if save else state.checkpoint()
-    eps, model = 1.0 / n, []
-    for _ in range(rounds):
-        stacked = state.select("y", "w", F.posexplode(F.array(*[f"b_{i}" for i in range(len(factors))])).alias("f", "bin"))
-        masses = bin_masses(stacked, "f", "y", "w").collect()  # factors x bins rows
-        z = [0.0] * len(factors)
-        for m in sorted(masses, key=lambda m: (m["f"], -1 if m["bin"] is None else m["bin"])):
-            z[m["f"]] += (m["w_plus"] + m["w_minus"]) / 2 if m["bin"] is None else math.sqrt(m["w_plus"] * m["w_minus"])
-        best = min(range(len(factors)), key=lambda i: (z[i], i))
-        values = [0.0] * bins
-        for m in masses:
-            if m["f"] == best and m["bin"] is not None:
-                values[m["bin"]] = 0.5 * math.log((m["w_plus"] + eps) / (m["w_minus"] + eps))
-        h = F.coalesce(F.try_element_at(F.array(*[F.lit(v) for v in values]), F.col(f"b_{best}") + 1), F.lit(0.0))
-        weighed = state.withColumn("w", F.col("w") * F.exp(-F.col("y") * h))
-        total = weighed.agg(F.sum("w")).first()[0]
-        state = weighed.withColumn("w", F.col("w") / total)
-        state = save(state) if save else state.checkpoint()
+    models, refused = boost_groups(observations.withColumn("_group", F.lit(0)), "_group", factors, label, rounds, bins, save, trace)
+    if not models:
+        raise ValueError(refused.get(0, "no labelled observations"))
+    return models[0]
+
+
+def boost_groups(observations: DataFrame, group: str, factors: list[str], label: str, rounds: int, bins: int, save=None, trace: list[str] | None = None) -> tuple[dict, dict]:
+    """(a model by group, reasons of the groups that have none): all groups train side by side.
+
+    A round is one job for all groups; groups x factors x bins numbers reach the
+    driver, and each group's chosen bins go back with it. Groups are folds or
+    experts: few, whatever the number of observations.
+    """
+    held = observations.select(F.col(group).alias("g"), F.col(label).alias("y"), *[F.col(f).cast("double").alias(f"v_{i}") for i, f in enumerate(factors)])
+    long = held.select("g", F.posexplode(F.array(*[f"v_{i}" for i in range(len(factors))])).alias("f", "v"))
+    n = {r["g"]: r["n"] for r in held.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = equal_count_edges(long.withColumn("gf", F.struct("g", "f")), "gf", "v", [], bins).select("gf.g", "gf.f", "edges").collect()
+    edges = {(r["g"], r["f"]): list(r["edges"]) for r in found}
+    refused = {}
+    for g in n:
+        bare = [f for i, f in enumerate(factors) if (g, i) not in edges]
+        if bare:
+            refused[g] = f"factor {bare[0]} covers no observation"
+    live = sorted(g for g in n if g not in refused)
+    if not live:
+        return {}, refused
+    spark, kind = observations.sparkSession, held.schema["g"].dataType.simpleString()
+    table = spark.createDataFrame([(g, float(n[g]), [edges[g, i] for i in range(len(factors))]) for g in live], f"g {kind}, n double, e array<array<double>>")
+    place = lambda i: F.when(F.col(f"v_{i}").isNotNull(), bins_below(F.get("e", F.lit(i)), F.col(f"v_{i}")))
+    state = held.join(F.broadcast(table), "g").select("g", "y", F.array(*[place(i) for i in range(len(factors))]).alias("b"), (F.lit(1.0) / F.col("n")).alias("w"))
+    write = lambda df: save(df) if save else df.checkpoint()
+    state = write(state)
+    models: dict = {g: [] for g in live}
+    for k in range(rounds):
+        rows = bin_masses(state.select("g", "y", "w", F.posexplode("b").alias("f", "bin")).withColumn("gf", F.struct("g", "f")), "gf", "y", "w").collect()
+        masses: dict = {g: [] for g in live}
+        for r in sorted(rows, key=lambda r: (r["gf"]["f"], -1 if r["bin"] is None else r["bin"])):
+            masses[r["gf"]["g"]].append((r["gf"]["f"], r["bin"], r["w_plus"], r["w_minus"]))
+        chosen = []
+        for g in live:
+            total = sum(p + m for f, _, p, m in masses[g] if f == 0)
+            eps, z = 1.0 / n[g], [0.0] * len(factors)
+            for f, at, p, m in masses[g]:
+                z[f] += ((p + m) / 2 if at is None else math.sqrt(p * m)) / total
+            best = min(range(len(factors)), key=lambda i: (z[i], i))
+            values = [0.0] * bins
+            for f, at, p, m in masses[g]:
+                if f == best and at is not None:
+                    values[at] = 0.5 * math.log((p / total + eps) / (m / total + eps))
+            models[g].append({"factor": factors[best], "edges": edges[g, best], "values": values, "z": z[best]})
+            chosen.append((g, best, values, total))
+        if k + 1 == rounds and trace is None:
+            break
+        sent = F.broadcast(spark.createDataFrame(chosen, f"g {kind}, best int, h array<double>, total double"))
+        h = F.coalesce(F.get("h", F.get("b", F.col("best"))), F.lit(0.0))
+        state = state.join(sent, "g").select("g", "y", "b", (F.col("w") / F.col("total") * F.exp(-F.col("y") * h)).alias("w"))
+        if (k + 1) % CHAIN == 0:
+            state = write(state)
         if trace is not None:
             trace.append(weight_digest(state))
-        model.append({"factor": factors[best], "edges": edges[factors[best]], "values": values, "z": z[best]})
-    return model
+    return models, refused
 
 
 def predict(observations: DataFrame, model: list[dict], out: str = "score", missing_as_zero: bool = True) -> DataFrame:
@@ -186,13 +217,16 @@ def train_ensemble(frame: DataFrame, experts: dict[str, DataFrame], period: str,
     experts: name to its selected periods. An expert without periods is left
     out and listed; one whose periods the frame lacks is an error.
     """
-    models, dropped = {}, []
-    for name in sorted(experts):
-        if not experts[name].take(1):
-            dropped.append((name, "no period is selected"))
-            continue
-        models[name] = boost(pooled(frame, experts[name], period), factors, label, rounds, bins, save)
-    return models, dropped
+    dropped = [(name, "no period is selected") for name in sorted(experts) if not experts[name].take(1)]
+    live = sorted(set(experts) - {name for name, _ in dropped})
+    rows = None
+    for name in live:
+        mine = pooled(frame, experts[name], period).select(F.lit(name).alias("_expert"), *factors, label)
+        rows = mine if rows is None else rows.unionByName(mine)
+    if rows is None:
+        return {}, dropped
+    models, refused = boost_groups(rows, "_expert", factors, label, rounds, bins, save)
+    return models, sorted([*dropped, *refused.items()])
 
 
 def expert_scores(observations: DataFrame, models: dict[str, list[dict]], keys: list[str]) -> DataFrame:

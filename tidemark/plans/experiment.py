@@ -56,22 +56,24 @@ def walk_forward(frame: DataFrame, e: Experiment) -> tuple[DataFrame, DataFrame]
     """(out-of-sample scores: fold_id, m, security_id, score, fwd; ledger of folds without a fit).
 
     Folds are months on the driver; each fit trains on months whose label is
-    realized before the test begins. Only bins and edges reach the driver.
+    realized before the test begins. All folds are fitted side by side.
     """
     e.rule.check(e.horizon)
     months = sorted(r[0] for r in frame.select("m").distinct().collect())
     frame = store.materialised(frame)
+    spark = frame.sparkSession
+    found = folds.folds(months, e.rule)
+    table = spark.createDataFrame([(f["fold_id"], int(f["train_from"]), int(f["fit_as_of"])) for f in found], "fold_id int, train_from int, fit_as_of int")
+    inside = (F.col("m") >= F.col("train_from")) & (F.col("m") + e.horizon <= F.col("fit_as_of")) & F.col("label").isNotNull()
+    train = frame.join(F.broadcast(table), inside).select("fold_id", *e.features, "label")
+    models, refused = model.boost_groups(train, "fold_id", list(e.features), "label", e.rounds, e.bins, save=store.materialised)
     scores, skipped = [], []
-    for f in folds.folds(months, e.rule):
-        train = frame.where((F.col("m") >= f["train_from"]) & (F.col("m") + e.horizon <= f["fit_as_of"]) & F.col("label").isNotNull())
-        test = frame.where(F.col("m").between(f["test_from"], f["test_to"]))
-        try:
-            fitted = model.boost(train.select(*e.features, "label"), list(e.features), "label", e.rounds, e.bins, save=store.materialised)
-        except ValueError as why:
-            skipped.append((f["fold_id"], str(why)))
+    for f in found:
+        if f["fold_id"] not in models:
+            skipped.append((f["fold_id"], refused.get(f["fold_id"], "no labelled observations")))
             continue
-        scores.append(model.predict(test, fitted).select(F.lit(f["fold_id"]).alias("fold_id"), "m", "security_id", "score", "fwd"))
-    spark = frame.sparkSession
+        test = frame.where(F.col("m").between(f["test_from"], f["test_to"]))
+        scores.append(model.predict(test, models[f["fold_id"]]).select(F.lit(f["fold_id"]).alias("fold_id"), "m", "security_id", "score", "fwd"))
     out = scores[0] if scores else frame.limit(0).select(F.lit(0).alias("fold_id"), "m", "security_id", F.lit(0.0).alias("score"), "fwd")
     for s in scores[1:]:
         out = out.unionByName(s)
