@@ -212,6 +212,26 @@ def test_optimiser_volatility_costs_and_borrow():
     assert np.allclose(w, [-0.75, 0.15], atol=1e-4)
 
 
+def test_optimiser_turnover_and_conflicts():
+    import itertools
+
+    import numpy as np
+
+    alpha, held = np.array([1.0, 0.4, -0.2, -1.0]), np.array([0.1, 0.3, -0.1, -0.3])
+    w = portfolio.optimise(alpha, np.eye(4), [-1] * 4, [1] * 4, [("net", np.ones(4))], [(0.0, 0.0)], 4.0, risk=1.0, held=held, turnover=0.2)
+    assert np.abs(w - held).sum() <= 0.4 + 1e-4 and abs(w.sum()) < 1e-4
+    value = lambda x: alpha @ x - x @ x / 2
+    steps = np.linspace(-0.2, 0.2, 21)
+    best = max(value(held + d) for d in (np.array([a, b, c, -a - b - c]) for a, b, c in itertools.product(steps, repeat=3)) if np.abs(d).sum() <= 0.4 + 1e-9)
+    assert value(w) >= best - 1e-3  # no book of the grid is better
+    free = portfolio.optimise(alpha, np.eye(4), [-2] * 4, [2] * 4, [("net", np.ones(4))], [(0.0, 0.0)], 4.0, risk=1.0, held=held, turnover=9.0)
+    assert np.allclose(free, alpha - alpha.mean(), atol=1e-3)
+    one = lambda lower, upper, gross=9.0, **more: portfolio.optimise([1.0, 1.0], np.eye(2), lower, upper, [("net", np.ones(2))], [(0.0, 0.0)], gross, **more)
+    for why, args, more in (("position_1 has no room", ([0, 1], [1, 0]), {}), ("net cannot", ([0.1, 0.1], [1, 1]), {}), ("gross", ([0.5, -1], [1, -0.5], 0.9), {}), ("turnover", ([0.5, -1], [1, -0.5]), {"held": [0.0, 0.0], "turnover": 0.4})):
+        with pytest.raises(portfolio.Infeasible, match=why):
+            one(*args, **more)
+
+
 def test_optimised_book_bounds(spark):
     rows = [(0, f"n{i}", float(3 - i), 0.04, 50.0 if i == 0 else 1e6, i == 5) for i in range(7)] + [(1, "n0", 1.0, 0.04, None, False), (1, "n1", -1.0, 0.04, 1.0, False)]
     df = spark.createDataFrame(rows, "d int, k string, s double, var double, adv double, htb boolean")

@@ -56,11 +56,12 @@ class Infeasible(ValueError):
     """No book satisfies the constraints; names the most violated."""
 
 
-def optimise(alpha, cov, lower, upper, rows, bounds, gross: float, risk: float = 0.0, steps: int = 4_000, tolerance: float = 1e-6, volatility: float | None = None, held=None, cost: float = 0.0, borrow: float = 0.0):
-    """Maximises alpha'w - risk w'Cw/2 - cost sum|w - held| - borrow sum max(-w, 0) subject to lower <= w <= upper, rows w in bounds, sum|w| <= gross and w'Cw <= volatility**2.
+def optimise(alpha, cov, lower, upper, rows, bounds, gross: float, risk: float = 0.0, steps: int = 4_000, tolerance: float = 1e-6, volatility: float | None = None, held=None, cost: float = 0.0, borrow: float = 0.0, turnover: float | None = None):
+    """Maximises alpha'w - risk w'Cw/2 - cost sum|w - held| - borrow sum max(-w, 0) subject to lower <= w <= upper, rows w in bounds, sum|w| <= gross, w'Cw <= volatility**2 and sum|w - held| <= 2 turnover.
 
     Operator splitting: the quadratic step is one factored linear system, the
-    constraints are projections; then every constraint is checked again.
+    constraints are projections; then every constraint is checked again. Bounds
+    that contradict one another are named before anything is solved.
     rows: list of (name, vector); bounds: list of (low, high).
     """
     import numpy as np
@@ -71,23 +72,28 @@ def optimise(alpha, cov, lower, upper, rows, bounds, gross: float, risk: float =
     low = np.concatenate((np.asarray(lower, float), [b[0] for b in bounds]))
     high = np.concatenate((np.asarray(upper, float), [b[1] for b in bounds]))
     held = np.zeros(n) if held is None else np.asarray(held, float)
+    if found := conflicts(low, high, [(name, a[n + k]) for k, (name, _) in enumerate(rows)], gross, held, turnover):
+        raise Infeasible(", ".join(found[:3]))
     rho, sigma = 1.0, 1e-6
     root = None
     if volatility is not None:
         values, vectors = np.linalg.eigh(cov)
         root = vectors * np.sqrt(np.maximum(values, 0)) @ vectors.T
     charged = cost > 0 or borrow > 0
-    system = np.linalg.inv(risk * cov + sigma * np.eye(n) + rho * (a.T @ a + np.eye(n) * (2 if charged else 1) + (0 if root is None else root @ root)))
+    system = np.linalg.inv(risk * cov + sigma * np.eye(n) + rho * (a.T @ a + np.eye(n) * (1 + charged + (turnover is not None)) + (0 if root is None else root @ root)))
     w, z, y = np.zeros(n), np.zeros(len(a)), np.zeros(len(a))
     g, u = np.zeros(n), np.zeros(n)
     h, q = np.zeros(n), np.zeros(n)  # the charged copy of w
     v, x = np.zeros(n), np.zeros(n)  # root w, within its ball
+    b, p = held.copy(), np.zeros(n)  # the copy of w that is near held
     for _ in range(steps):
         pull = alpha + sigma * w + a.T @ (rho * z - y) + rho * g - u
         if charged:
             pull = pull + rho * h - q
         if root is not None:
             pull = pull + root @ (rho * v - x)
+        if turnover is not None:
+            pull = pull + rho * b - p
         w = system @ pull
         az = a @ w
         z_new = np.clip(az + y / rho, low, high)
@@ -99,6 +105,10 @@ def optimise(alpha, cov, lower, upper, rows, bounds, gross: float, risk: float =
             h_new = _charged(w + q / rho, held, cost / rho, borrow / rho)
             q, done = q + rho * (w - h_new), max(done, np.abs(w - h_new).max(), np.abs(h_new - h).max())
             h = h_new
+        if turnover is not None:
+            b_new = held + _onto_l1(w + p / rho - held, 2 * turnover)
+            p, done = p + rho * (w - b_new), max(done, np.abs(w - b_new).max(), np.abs(b_new - b).max())
+            b = b_new
         if root is not None:
             at = root @ w
             v_new = at + x / rho
@@ -108,14 +118,32 @@ def optimise(alpha, cov, lower, upper, rows, bounds, gross: float, risk: float =
         if done < tolerance / 10:
             break
     w = np.where(np.abs(w) < tolerance / 10, 0.0, w)
-    names = [f"position_{k}" for k in range(n)] + [r[0] for r in rows] + ["gross", "volatility"]
-    over = np.concatenate((np.maximum(low - a @ w, a @ w - high), [np.abs(w).sum() - gross, 0.0 if root is None else np.linalg.norm(root @ w) - volatility]))
+    names = [f"position_{k}" for k in range(n)] + [r[0] for r in rows] + ["gross", "volatility", "turnover"]
+    over = np.concatenate((np.maximum(low - a @ w, a @ w - high), [np.abs(w).sum() - gross, 0.0 if root is None else np.linalg.norm(root @ w) - volatility, 0.0 if turnover is None else np.abs(w - held).sum() - 2 * turnover]))
     if over.max() > 100 * tolerance:
         worst = sorted(zip(over, names), reverse=True)[:3]
         raise Infeasible(", ".join(f"{name} by {x:.3g}" for x, name in worst if x > 0))
     return w
 
 
+def conflicts(low, high, rows, gross: float, held, turnover: float | None) -> list[str]:
+    """Contradictions that the bounds alone show: low and high of each position, then of each row."""
+    import numpy as np
+
+    n = len(held)
+    out = [f"position_{k} has no room" for k in np.flatnonzero(low[:n] > high[:n])]
+    lower, upper = low[:n], high[:n]
+    for k, (name, v) in enumerate(rows):
+        least, most = np.minimum(v * lower, v * upper).sum(), np.maximum(v * lower, v * upper).sum()
+        if low[n + k] > high[n + k] or least > high[n + k] + 1e-12 or most < low[n + k] - 1e-12:
+            out.append(f"{name} cannot be reached within the position bounds")
+    if gross < 0 or np.maximum(np.maximum(lower, -upper), 0).sum() > gross + 1e-12:
+        out.append("gross is less than the positions need")
+    if turnover is not None and (turnover < 0 or np.maximum(np.maximum(lower - held, held - upper), 0).sum() > 2 * turnover + 1e-12):
+        out.append("turnover is less than the positions need")
+    return out
+
+
 def _charged(x, held, cost: float, borrow: float):
     """The h that minimises cost |h - held| + borrow max(-h, 0) + (h - x)**2 / 2, by name."""
     import numpy as np
@@ -139,7 +167,7 @@ def _onto_l1(v, radius: float):
 
 
 def level3(df: DataFrame, by: list[str], key: str, score: str, cap: float, gross: float, beta: str | None = None, groups: list[str] = (), group_net: float = 0.05, variance: str | None = None, risk: float = 1.0, held: str | None = None, most_turnover: float | None = None, adv: str | None = None, nav: float | None = None, most_participation: float | None = None, hard_to_borrow: str | None = None, volatility: float | None = None, cost: float = 0.0, borrow: float = 0.0) -> DataFrame:
-    """One optimised book a date: dollar and beta neutral, capped, group-neutral within group_net, turnover-bounded.
+    """One optimised book a date: dollar and beta neutral, capped, group-neutral within group_net, with a one-way turnover of at most most_turnover against held.
 
     Trades are within most_participation of adv for a book of nav; names that
     are hard_to_borrow are not short; volatility bounds the book's, in the
@@ -171,9 +199,6 @@ def level3(df: DataFrame, by: list[str], key: str, score: str, cap: float, gross
                 rows.append((f"{g}={value}", (pdf[g] == value).to_numpy(float)))
                 bounds.append((-group_net, group_net))
         lower, upper = np.full(n, -cap), np.full(n, cap)
-        if held and most_turnover is not None:
-            each = 2 * most_turnover / max(n, 1)  # a sufficient bound, name by name
-            lower, upper = np.maximum(lower, pdf[held].to_numpy(float) - each), np.minimum(upper, pdf[held].to_numpy(float) + each)
         now = pdf[held].fillna(0).to_numpy(float) if held else np.zeros(n)
         unknown = 0
         if most_participation is not None:
@@ -188,7 +213,7 @@ def level3(df: DataFrame, by: list[str], key: str, score: str, cap: float, gross
         try:
             if unknown:
                 raise Infeasible(f"{adv} unknown for {unknown} names")
-            out["weight"], out["status"] = optimise(pdf[score].to_numpy(float), cov, lower, upper, rows, bounds, gross, risk, volatility=volatility, held=now, cost=cost, borrow=borrow), "ok"
+            out["weight"], out["status"] = optimise(pdf[score].to_numpy(float), cov, lower, upper, rows, bounds, gross, risk, volatility=volatility, held=now, cost=cost, borrow=borrow, turnover=most_turnover if held else None), "ok"
         except Infeasible as e:
             out["weight"], out["status"] = np.nan, f"infeasible: {e}"
         return out[[*by, key, "weight", "status"]]

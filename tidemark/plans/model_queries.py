@@ -218,15 +218,6 @@ def book_exposure(spark, sf):
     return metrics.exposure(_book1(spark, sf), ["m"], "weight").select("m", r6(F.col("gross")).alias("gross"), r6(F.col("net")).alias("net"))
 
 
-@book.add(f"""WITH {RETURNS} SELECT a.security_id AS a, b.security_id AS b, round(CASE WHEN a.security_id = b.security_id THEN 1 ELSE 0.5 END * covar_samp(a.fwd, b.fwd), 8) + 0.0 AS cov FROM rets a JOIN rets b USING (m)
- WHERE a.fwd IS NOT NULL AND b.fwd IS NOT NULL AND a.security_id <= 20 AND b.security_id <= 20 GROUP BY 1, 2 HAVING count(*) > 1""")
-def covariance(spark, sf):
-    """Only the names up to 20, as its SQL has it; covariance_all has every name."""
-    r = month_returns(spark, sf).where("fwd is not null and security_id <= 20")
-    c = portfolio.covariance(r, "m", "security_id", "fwd", 0.5)
-    return c.where("cov is not null").select("a", "b", F.round("cov", 8).alias("cov"))
-
-
 @book.add(f"""WITH {RETURNS} SELECT a.security_id AS a, b.security_id AS b, round(CASE WHEN a.security_id = b.security_id THEN 1 ELSE 0.5 END * covar_samp(a.fwd, b.fwd), 8) + 0.0 AS cov FROM rets a JOIN rets b USING (m)
  WHERE a.fwd IS NOT NULL AND b.fwd IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1""")
 def covariance_all(spark, sf):
