@@ -703,3 +703,62 @@ def test_license_scan_takes_whole_licences_as_templates(spark):
     assert got[1, "A"] == (2, 1.0) and got[None, "B"] == (1, 1.0) and 0.8 <= got[2, "A"][1] < 1
     with pytest.raises(ValueError):
         scan(df, {"none": "one"})
+
+
+def test_intersections_of_sets():
+    """Few and many holders of a feature, within one block and between two, against set intersections."""
+    import numpy as np
+
+    from tidemark.llm import partenum
+
+    rng = np.random.default_rng(8)
+    for rows, left in ((2, 2), (40, 40), (40, 13), (5, 4)):
+        common = rng.integers(0, 2**63, 60, dtype=np.uint64)
+        sets = [np.unique(np.concatenate((rng.choice(common, int(rng.integers(0, 60)), replace=False), rng.integers(0, 2**63, 9, dtype=np.uint64), np.arange(i // 3, i // 3 + 5, dtype=np.uint64)))) for i in range(rows)]
+        got = partenum.intersections(sets, left)
+        for a in range(left):
+            for b in range(a + 1, rows) if left == rows else range(left, rows):
+                assert got[a, b if left == rows else b - left] == len(np.intersect1d(sets[a], sets[b]))
+
+
+def test_ngram_join_compares_families_in_blocks(spark, monkeypatch):
+    """Near copies around the threshold, one family over many blocks; every edge size; the same links as all pairs."""
+    from tidemark.llm import partenum
+
+    monkeypatch.setattr(partenum, "BLOCK_SETS", 4)
+    monkeypatch.setattr(partenum, "DENSE", 6)
+    monkeypatch.setattr(partenum, "TILE", 64)
+    rng = random.Random(23)
+    rows = []
+    for base_size in (37, 60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(base_size)]
+        for _ in range(45):
+            w = list(base)
+            for _ in range(rng.choice((0, 1, 1, 2, 2, 3, 4))):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    for small, large in ((30, 35), (31, 36), (32, 37), (33, 38)):  # shingles; the smaller set lies within the larger
+        for _ in range(12):
+            w = [f"v{rng.randrange(10**9)}" for _ in range(large + 3)]
+            rows += [(len(rows), " ".join(w[: small + 3])), (len(rows) + 1, " ".join(w))]
+    rows += [(None, rows[0][1]), (len(rows), rows[3][1]), (len(rows), rows[3][1])]
+    want = _linked([r for r in rows if r[0] is not None])
+    got = partenum.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), F.col("doc_id"), F.col("text")).collect()
+    assert len(got) == len(rows) and {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == want
+    assert next(r.component_id for r in got if r.doc_id is None) == want[0][1]
+    assert len({v[1] for v in want.values()}) > 60
+
+
+def test_signatures_of_linked_pairs_meet_at_every_size():
+    import numpy as np
+
+    from tidemark.llm.partenum import Similar, signatures
+
+    similar, gen = Similar(), np.random.default_rng(12)
+    for size in range(20, 61):
+        other = similar.largest_partner(size)
+        for k in range(150):
+            b = gen.integers(0, 2**63, other, dtype=np.uint64)
+            fresh = k % 3 if 100 * (size - k % 3) >= 85 * (other + k % 3) else 0
+            a = np.concatenate((b[: size - fresh], gen.integers(0, 2**63, fresh, dtype=np.uint64)))
+            assert len(np.intersect1d(signatures(np.sort(a), similar), signatures(np.sort(b), similar))), (size, other)
