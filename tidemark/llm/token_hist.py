@@ -17,6 +17,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 BLOCK = 1024
 
 
@@ -48,7 +50,8 @@ def histogram(lengths: DataFrame) -> DataFrame:
     truncated_total: tokens kept if every document is cut at that length.
     total_docs, total_tokens: of the whole table.
     """
-    h = lengths.groupBy("tokens").agg(F.sum("docs").alias("docs")).withColumn("block", F.floor(F.col("tokens") / BLOCK))
+    # written, since two branches read it: else every text would be encoded twice
+    h = materialise(lengths.groupBy("tokens").agg(F.sum("docs").alias("docs")), "histogram").withColumn("block", F.floor(F.col("tokens") / BLOCK))
     mass = F.col("docs") * F.col("tokens")
     blocks = h.groupBy("block").agg(F.sum("docs").alias("d"), F.sum(mass).alias("t"))
     later = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
