@@ -15,7 +15,7 @@ import sys
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = r"[!-~\u00a1-\u012f\u0131-\u024f]+"
 LAST_PLAIN, NOT_PLAIN = "\u024f", "\u0130"
-CACHE_BYTES = 24 << 20  # of remembered chunks in each worker
+CACHE_BYTES = 64 << 20  # of remembered chunks in each worker
 ENTRY = 200  # bytes that a dictionary entry takes besides its two strings
 WORD_END = b"\xff"  # a byte that UTF-8 never has
 
