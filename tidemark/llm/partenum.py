@@ -412,9 +412,11 @@ def _joined(similar: Similar):
 
 def links_within(sets: DataFrame, families: DataFrame, similar: Similar) -> DataFrame:
     """Pairs (a1, a2, b1, b2) of classes that links join, over each family (c, family) of set_table's rows."""
-    sized = sets.join(families, sets["c1"] == families["c"]).drop("c")
+    # a family's rows meet in one task as names only; the sets themselves are dealt out by class, then by pair of blocks
+    light = sets.select("c1", "c2", "n").join(families, sets["c1"] == families["c"]).drop("c")
     blocks = F.ceil(F.greatest(F.sum("n") / BLOCK_FEATURES, F.count(F.lit(1)) / BLOCK_SETS)).cast("int")
-    sized = sized.drop("n").join(sized.groupBy("family").agg(blocks.alias("blocks")), "family")
+    named = light.drop("n").join(light.groupBy("family").agg(blocks.alias("blocks")), "family")
+    sized = sets.select("c1", "c2", "s").join(named, ["c1", "c2"])
     sized = sized.withColumn("side", F.pmod(F.xxhash64("c1", "c2"), F.col("blocks")).cast("int"))
     both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("side")).alias("i"), F.greatest(k, F.col("side")).alias("j")))
     sized = sized.withColumn("ij", F.explode(both)).select("family", "ij.i", "ij.j", "side", "c1", "c2", "s")
