@@ -762,3 +762,50 @@ def test_signatures_of_linked_pairs_meet_at_every_size():
             fresh = k % 3 if 100 * (size - k % 3) >= 85 * (other + k % 3) else 0
             a = np.concatenate((b[: size - fresh], gen.integers(0, 2**63, fresh, dtype=np.uint64)))
             assert len(np.intersect1d(signatures(np.sort(a), similar), signatures(np.sort(b), similar))), (size, other)
+
+
+def test_shared_signatures_alone_do_not_chain_families(spark, monkeypatch):
+    """Pairs of near copies that all hold one passage share signatures with one another; each is a family of its own."""
+    from tidemark.llm import partenum
+
+    common = " ".join(f"b{k}" for k in range(10))
+    rows = []
+    for k in range(60):
+        text = common + "".join(f" u{k}_{j}" for j in range(6))
+        rows += [(2 * k, text), (2 * k + 1, f"{text} more{k}")]
+    sizes, plain = [], partenum.links_within
+
+    def seen(sets, families, similar):
+        sizes.extend(r["count"] for r in families.groupBy("family").count().collect())
+        return plain(sets, families, similar)
+
+    monkeypatch.setattr(partenum, "links_within", seen)
+    got = partenum.link(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id"), F.col("text")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {d: d - d % 2 for d, _ in rows}
+    assert sorted(sizes) == [2] * 60
+
+
+def test_near_chains_keep_every_link():
+    """Places joined by chains equal those of all near pairs, and linked sets are always near."""
+    import numpy as np
+
+    from tidemark.llm import partenum
+
+    rng, similar = np.random.default_rng(5), partenum.Similar()
+    for trial in range(40):
+        sets = []
+        for base in (rng.integers(0, 2**63, rng.integers(1, 300), dtype=np.uint64) for _ in range(4)):
+            for _ in range(5):
+                kept = base[rng.random(len(base)) > rng.choice([0, 0.04, 0.12])]
+                sets.append(np.unique(np.append(kept, rng.integers(0, 2**63, rng.integers(1, 4), dtype=np.uint64))))
+        sets = [sets[k] for k in rng.permutation(len(sets))]
+        n = np.array([len(s) for s in sets])
+        counts = partenum.cell_counts(np.concatenate(sets), np.append(0, np.cumsum(n)))
+        apart = np.abs(counts[:, None].astype(int) - counts[None].astype(int)).sum(2)
+        near = 185 * apart <= 15 * (n[:, None] + n[None])
+        common = partenum.intersections(sets, len(sets))
+        assert not (185 * common >= 85 * (n[:, None] + n[None]))[~near].any()
+        a, b = partenum.near_chains(n, counts, similar)
+        assert len(a) == 0 or near[a, b].all()
+        x, y = np.nonzero(near)
+        assert (partenum.least_labels(a, b, len(sets)) == partenum.least_labels(x, y, len(sets))).all()

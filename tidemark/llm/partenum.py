@@ -19,8 +19,11 @@ Rows that share a signature are found by sorting on it and streaming over the
 sorted rows. What sets have in common lies in features that at least two
 sets with a shared signature hold, so a set too many of whose features are its
 own alone can link with none and is left out; one count by feature, combined
-before it is shuffled, finds these. Of the rest, sets joined by chains of shared
-signatures are a family. A family is compared in blocks of bounded size, by the
+before it is shuffled, finds these. Of the rest, two sets that share a signature
+are near if the counts of their features in 256 cells differ by no more than
+those of linked sets can; sets joined by chains of near ones are a family. Mere
+shared signatures would not do: by chance they chain ever more of a growing
+table into one family. A family is compared in blocks of bounded size, by the
 sizes of the intersections of whole sets; from each pair of blocks comes at most
 one row for each set, that which joins it to its group there. So no link
 between different sets is lost, and what is written follows the number of sets,
@@ -52,6 +55,7 @@ BLOCK_SETS = 1_500  # sets of a block at most, on average
 BLOCK_FEATURES = 1_000_000  # features of a block at most, on average
 DENSE = 16  # sets that hold a feature from which on it is a column of a matrix
 TILE = 8 << 20  # cells of such a matrix at once
+CELLS = 256  # of the feature domain, in which a set's features are counted
 
 
 @dataclass(frozen=True)
@@ -287,8 +291,8 @@ def _texts(names: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     return found.select("c1", "c2", "t")
 
 
-def own_features(texts: DataFrame, similar: Similar) -> DataFrame:
-    """c, own: how many features of the classes named c no other text of the table has."""
+def own_features(texts: DataFrame, similar: Similar, share: int = 1) -> DataFrame:
+    """c, own: how many features of the classes named c no other text of the table has, of one in `share` features."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -300,6 +304,9 @@ def own_features(texts: DataFrame, similar: Similar) -> DataFrame:
             for lo, hi, w in slices(batch.column(1), fold=True):
                 f, bounds = _sets(w, similar.words)
                 c = np.repeat(batch.column(0).slice(lo, hi - lo).to_numpy(), np.diff(bounds))
+                if share > 1:
+                    some = f % np.uint64(share) == 0
+                    f, c = f[some], c[some]
                 for a in range(0, len(f), 200_000):
                     yield pa.RecordBatch.from_arrays([pa.array(f[a : a + 200_000].view(np.int64)), pa.array(c[a : a + 200_000])], names=["f", "c"])
 
@@ -307,8 +314,17 @@ def own_features(texts: DataFrame, similar: Similar) -> DataFrame:
     return held.where("times = 1").groupBy("c").agg(F.count(F.lit(1)).alias("own"))
 
 
+def cell_counts(features, bounds):
+    """Rows of how many of a set's features lie in each cell, 255 at most. Two rows differ by no more than their sets do."""
+    import numpy as np
+
+    sets = len(bounds) - 1
+    cell = np.repeat(np.arange(sets) * CELLS, np.diff(bounds)) + (features >> np.uint64(3)).astype(np.int64) % CELLS
+    return np.minimum(np.bincount(cell, minlength=sets * CELLS), 255).astype(np.uint8).reshape(sets, CELLS)
+
+
 def set_table(texts: DataFrame, similar: Similar) -> DataFrame:
-    """c1, c2, n, s (the features as bytes) of texts."""
+    """c1, c2, n, s (the features as bytes), counts (those of cell_counts) of texts."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -320,9 +336,10 @@ def set_table(texts: DataFrame, similar: Similar) -> DataFrame:
             for lo, hi, w in slices(batch.column(2), fold=True):
                 f, bounds = _sets(w, similar.words)
                 sets = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((8 * bounds).astype(np.int32).tobytes()), pa.py_buffer(f.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(bounds)), sets], names=["c1", "c2", "n", "s"])
+                counts = pa.array([row.tobytes() for row in cell_counts(f, bounds)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(bounds)), sets, counts], names=["c1", "c2", "n", "s", "counts"])
 
-    return texts.select("c1", "c2", "t").mapInArrow(run, "c1 long, c2 long, n long, s binary")
+    return texts.select("c1", "c2", "t").mapInArrow(run, "c1 long, c2 long, n long, s binary, counts binary")
 
 
 def intersections(sets: list, left: int):
@@ -443,10 +460,87 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def families(members: DataFrame) -> DataFrame:
-    """c, family of the classes that still share a signature (sig, c), by chains of shared signatures."""
-    first = members.groupBy("sig").agg(F.min("c").alias("l"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    edges = members.join(first, "sig").where("c <> l").select(F.col("c").alias("a"), F.col("l").alias("b")).distinct()
+def near_chains(n, counts, similar: Similar):
+    """(a, b): places of near sets, enough to chain all that near ones join; each set is met with those not yet joined only."""
+    import numpy as np
+
+    counts, found_a, found_b = counts.astype(np.int16), [], []
+    free, wide = np.arange(len(n)), max(1, TILE // CELLS)
+    while len(free) > 1:
+        front, free = free[:1], free[1:]
+        while len(front) and len(free):
+            by = np.full(len(free), -1)
+            step = max(1, TILE // (CELLS * len(free)))
+            for lo in range(0, len(front), step):
+                f, open_ = front[lo : lo + step], np.flatnonzero(by < 0)
+                for at in range(0, len(open_), wide):
+                    g = open_[at : at + wide]
+                    apart = np.abs(counts[f][:, None] - counts[free[g]][None]).sum(2, dtype=np.int64)
+                    near = (100 + similar.percent) * apart <= (100 - similar.percent) * (n[f][:, None] + n[free[g]][None])
+                    by[g] = np.where(near.any(0), f[near.argmax(0)], -1)
+            joined = by >= 0
+            found_a.append(by[joined])
+            found_b.append(free[joined])
+            front, free = free[joined], free[~joined]
+    if not found_a:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
+def near_edges(members: DataFrame, similar: Similar) -> DataFrame:
+    """a, b: near ones of the classes (sig, c, n, counts) that share a signature, enough for all their chains; streams over sorted rows."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def edges(table):
+            sig, c, n = (table.column(k).to_numpy() for k in ("sig", "c", "n"))
+            counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(-1, CELLS)
+            first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+            size = np.diff(np.append(first, len(sig)))
+            one = np.repeat(first, size)
+            apart = np.zeros(len(sig), np.int64)
+            for at in range(0, len(sig), 4096):
+                part = slice(at, at + 4096)
+                apart[part] = np.abs(counts[part].astype(np.int16) - counts[one[part]]).sum(1, dtype=np.int64)
+            near = (100 + similar.percent) * apart <= (100 - similar.percent) * (n + n[one])
+            whole = np.logical_and.reduceat(near, first)  # all of the signature's are near the first
+            a, b = [one[np.repeat(whole, size)]], [np.flatnonzero(np.repeat(whole, size))]
+            for k in np.flatnonzero(~whole & (size > 2)):
+                part = slice(first[k], first[k] + size[k])
+                x, y = near_chains(n[part], counts[part], similar)
+                a.append(x + first[k])
+                b.append(y + first[k])
+            a, b = c[np.concatenate(a)], c[np.concatenate(b)]
+            return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+
+        held: list = []  # rows of the signature that may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = batch.column(0).to_numpy()
+            start = int(np.searchsorted(sig, sig[-1]))
+            if start or (held and held[0].column(0)[0].as_py() != sig[0]):
+                # all before the last signature is whole; held rows belong to it or are whole too
+                yield edges(pa.Table.from_batches([*held, batch.slice(0, start)]))
+                held = []
+            held.append(batch.slice(start))
+        if held:
+            yield edges(pa.Table.from_batches(held))
+
+    spark = members.sparkSession
+    rows = members.select("sig", "c", "n", "counts").repartition(shuffle_tasks(spark), "sig").sortWithinPartitions("sig")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def families(members: DataFrame, sets: DataFrame, similar: Similar) -> DataFrame:
+    """c, family of the classes that still share a signature (sig, c), by chains of near ones."""
+    # of signatures with the same classes, one is enough
+    kept = members.groupBy("sig").agg(F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y"), F.count(F.lit(1)).alias("k"))
+    kept = kept.where("k > 1").groupBy("x", "y", "k").agg(F.min("sig").alias("sig")).select("sig")
+    counted = sets.select(F.col("c1").alias("c"), "n", "counts")
+    edges = near_edges(members.join(kept, "sig", "left_semi").join(counted, "c"), similar)
     return components(edges).select(F.col("v").alias("c"), F.col("comp").alias("family"))
 
 
@@ -465,16 +559,19 @@ def link(docs: DataFrame, doc_id: Column, text: Column, similar: Similar = Simil
     classes = materialise(rows.where("n > 0").groupBy("c1", "c2").agg(least.alias("rep"), F.first("n").alias("n")), "class-reps")
     members = materialise(shared(signed(source, similar)), "shared-signatures")
     release(spark)
-    own = own_features(_texts(members.select("c").distinct(), classes, source), similar)
-    # a name that two classes have stays, whatever the count
     sizes = classes.groupBy(F.col("c1").alias("c")).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("k"))
-    apart = own.join(sizes, "c").where((F.col("k") == 1) & (100 * (F.col("n") - F.col("own")) < similar.percent * F.col("n"))).select("c")
-    left = materialise(members.join(apart, "c", "left_anti"), "near-signatures")
-    discard(members)
-    release(spark)
-    near = materialise(families(left), "families")
+    left = members
+    # a third of the features shows most sets that leave; all are counted only among those that stay
+    for share in (3, 1):
+        own = own_features(_texts(left.select("c").distinct(), classes, source), similar, share)
+        # a name that two classes have stays, whatever the count
+        apart = own.join(sizes, "c").where((F.col("k") == 1) & (100 * (F.col("n") - F.col("own")) < similar.percent * F.col("n"))).select("c")
+        before, left = left, materialise(left.join(apart, "c", "left_anti"), "near-signatures")
+        discard(before)
+        release(spark)
+    sets = materialise(set_table(_texts(left.select("c").distinct(), classes, source), similar).dropDuplicates(["c1", "c2"]), "sets")
+    near = materialise(families(left, sets, similar), "families")
     discard(left)
-    sets = materialise(set_table(_texts(near, classes, source), similar).dropDuplicates(["c1", "c2"]), "sets")
     edges = materialise(links_within(sets, near, similar), "links")
     discard(sets)
     release(spark)
