@@ -359,3 +359,29 @@ def test_ensembles_and_traces(spark):
     assert traces == ["120", "120", "114"] and model.trace_hash(["x"]) == model.trace_hash(["x"]) != model.trace_hash(["y"])
     one = spark.createDataFrame([(0.25,), (0.5,), (0.25,)], "w double")
     assert model.weight_digest(one) == model.weight_digest(one.repartition(3).orderBy("w")) != model.weight_digest(one.where("w < 0.5"))
+
+
+def test_covariances_pair_names_without_a_join(spark, monkeypatch):
+    """Blocks of names against the join by date: names without common dates, nulls, repeated dates and names of several blocks."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import portfolio
+
+    rng = random.Random(8)
+    rows = [(d, n, rng.choice([None, rng.gauss(0, 1), rng.gauss(5, 1)])) for n in range(330) for d in range(12) if rng.random() < 0.3 for _ in range(rng.choice([1, 1, 1, 2]))]
+    rows += [(None, 1, 3.0), (1, None, 2.0), (2, None, 1.0), (3, None, 4.0)]
+    df = spark.createDataFrame(rows, "d int, n long, r double")
+    monkeypatch.setattr(portfolio, "CELLS", 5_000)
+    out = portfolio.covariance(df, "d", "n", "r", 0.5)
+    assert "MergeJoin" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "HashJoin" not in plan
+    got = {(x.a, x.b): x["cov"] for x in out.collect()}
+    x, y = df.select("d", F.col("n").alias("a"), F.col("r").alias("x")), df.select("d", F.col("n").alias("b"), F.col("r").alias("y"))
+    joined = x.join(y, "d").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("c"))
+    want = {(z.a, z.b): z.c if z.c is None or z.a is not None and z.a == z.b else z.c / 2 for z in joined.collect()}
+    assert got.keys() == want.keys()
+    assert all((got[k] is None) == (want[k] is None) and (want[k] is None or abs(got[k] - want[k]) < 1e-9) for k in want)
+    odd = spark.createDataFrame([(1, 1, 1.0), (2, 1, float("inf")), (3, 1, 2.0), (1, 2, 1.0), (3, 2, 5.0)], "d int, n long, r double")
+    got = {(x.a, x.b): x["cov"] for x in portfolio.covariance(odd, "d", "n", "r").collect()}
+    assert got[1, 1] != got[1, 1] and got[1, 2] == 2.0 and got[2, 2] == 8.0

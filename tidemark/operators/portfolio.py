@@ -221,9 +221,81 @@ def level3(df: DataFrame, by: list[str], key: str, score: str, cap: float, gross
     return df.groupBy(*by).applyInPandas(run, schema)
 
 
+NAMES = 2_000  # of a block at most, on average
+BLOCKS = 16  # that many, so that tasks are many, unless they had fewer than 100 names
+CELLS = 400_000  # pairs of names put out at once
+
+
 def covariance(returns: DataFrame, date: str, name: str, r: str, shrink: float = 0.0) -> DataFrame:
-    """a, b, cov: sample covariance over common dates, off-diagonals shrunk towards 0."""
-    x = returns.select(date, F.col(name).alias("a"), F.col(r).alias("_x"))
-    y = returns.select(date, F.col(name).alias("b"), F.col(r).alias("_y"))
-    c = x.join(y, date).groupBy("a", "b").agg(F.covar_samp("_x", "_y").alias("_c"))
+    """a, b, cov: sample covariance over common dates, off-diagonals shrunk towards 0.
+
+    Names are dealt into blocks, each pair of blocks is one task's matrix
+    products, and pairs of names leave it as results only: they are never
+    joined or shuffled. Pairs with a value that is not finite have NaN.
+    """
+    from collections.abc import Iterator
+
+    from pyspark.sql import types as T
+
+    kind = returns.schema[name].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("_c", T.DoubleType())])
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def pairs(table):
+            i, j, side = (table.column(k).to_numpy() for k in ("i", "j", "side"))
+            names, rows = table.column("name").combine_chunks(), table.column("rows").combine_chunks()
+            who, flat = pc.list_parent_indices(rows).to_numpy(), pc.list_flatten(rows)
+            days = flat.field(0).dictionary_encode()
+            day, width = days.indices.to_numpy(), len(days.dictionary)
+            x = flat.field(1)
+            known, x = x.is_valid().to_numpy(zero_copy_only=False), x.cast(pa.float64()).fill_null(0.0).to_numpy()
+            whole = np.isfinite(x)
+            x = np.where(whole, x, 0.0)
+            n, at = len(names), who * width + day
+            per = np.bincount(who, weights=known & whole, minlength=n)
+            mean = np.bincount(who, weights=x, minlength=n) / np.maximum(per, 1)
+            there, held, sums, odd = (np.bincount(at, weights=v, minlength=n * width).reshape(n, width) for v in (np.ones(len(x)), known, np.where(known & whole, x - mean[who], 0.0), ~whole))
+            left, right = np.flatnonzero(side == i[0]), np.flatnonzero(side == j[0])
+            step = max(1, CELLS // max(1, len(right)))
+            for lo in range(0, len(left) if len(right) else 0, step):
+                u = left[lo : lo + step]
+                meet = there[u] @ there[right].T > 0
+                k = held[u] @ held[right].T
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    c = (sums[u] @ sums[right].T - (sums[u] @ held[right].T) * (held[u] @ sums[right].T) / k) / (k - 1)
+                if not whole.all():
+                    c[(odd[u] @ held[right].T + held[u] @ odd[right].T) > 0] = np.nan
+                a, b = np.nonzero(meet)
+                c = pa.array(c[a, b], mask=k[a, b] < 2)
+                one, two = names.take(pa.array(u[a])), names.take(pa.array(right[b]))
+                yield pa.RecordBatch.from_arrays([one, two, c], names=["a", "b", "_c"])
+                if i[0] != j[0]:
+                    yield pa.RecordBatch.from_arrays([two, one, c], names=["a", "b", "_c"])
+
+        held: list = []  # rows of the pair of blocks that may go on in the next batch
+        for batch in batches:
+            i, j = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero((i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), len(i)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if held and (held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py()) != (i[lo], j[lo]):
+                    yield from pairs(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    known = returns.where(F.col(date).isNotNull())
+    each = known.groupBy(F.col(name).alias("name")).agg(F.collect_list(F.struct(F.col(date).alias("d"), F.col(r).alias("x"))).alias("rows"))
+    count = known.select(name).distinct().agg(F.count(F.lit(1)).alias("n"))
+    blocks = F.greatest(F.ceil(F.col("n") / NAMES), F.least(F.ceil(F.col("n") / 100), F.lit(BLOCKS))).cast("int")
+    dealt = each.crossJoin(F.broadcast(count.select(F.greatest(blocks, F.lit(1)).alias("blocks"))))
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("side")).alias("i"), F.greatest(k, F.col("side")).alias("j")))
+    dealt = dealt.withColumn("ij", F.explode(both)).select("ij.i", "ij.j", "side", "name", "rows")
+    tasks = max(1, int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    c = dealt.repartition(tasks, "i", "j").sortWithinPartitions("i", "j").mapInArrow(run, schema)
     return c.select("a", "b", F.when(F.col("a") == F.col("b"), F.col("_c")).otherwise((1 - shrink) * F.col("_c")).alias("cov"))
