@@ -361,6 +361,31 @@ def test_ensembles_and_traces(spark):
     assert model.weight_digest(one) == model.weight_digest(one.repartition(3).orderBy("w")) != model.weight_digest(one.where("w < 0.5"))
 
 
+def test_variances_need_no_matrix_of_names_by_names():
+    """A vector of variances gives the books of its diagonal matrix, in memory that follows the names."""
+    import tracemalloc
+
+    import numpy as np
+
+    from tidemark.operators.portfolio import optimise
+
+    rng = np.random.default_rng(3)
+
+    def book(n, dense, **more):
+        rng = np.random.default_rng(n)
+        sector, alpha, var = rng.integers(0, 3, n), rng.normal(0, 0.1, n), rng.uniform(0.01, 0.09, n)
+        rows = [("net", np.ones(n)), *((f"s{k}", (sector == k).astype(float)) for k in range(3))]
+        return optimise(alpha, np.diag(var) if dense else var, np.full(n, -0.1), np.full(n, 0.1), rows, [(0.0, 0.0)] + [(-0.1, 0.1)] * 3, 2.0, 1.0, **more)
+
+    for more in ({}, {"volatility": 0.05}, {"cost": 0.01, "borrow": 0.01, "held": rng.normal(0, 0.01, 60), "turnover": 0.5}):
+        assert np.abs(book(60, True, **more) - book(60, False, **more)).max() < 1e-9
+    tracemalloc.start()
+    w = book(5_000, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert abs(np.abs(w).sum() - 2) < 1e-3 and peak < 20e6
+
+
 def test_covariances_pair_names_without_a_join(spark, monkeypatch):
     """Blocks of names against the join by date: names without common dates, nulls, repeated dates and names of several blocks."""
     import random

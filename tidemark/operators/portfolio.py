@@ -62,40 +62,54 @@ def optimise(alpha, cov, lower, upper, rows, bounds, gross: float, risk: float =
     Operator splitting: the quadratic step is one factored linear system, the
     constraints are projections; then every constraint is checked again. Bounds
     that contradict one another are named before anything is solved.
-    rows: list of (name, vector); bounds: list of (low, high).
+    rows: list of (name, vector); bounds: list of (low, high). cov may be a
+    vector of variances: then a step's work and memory follow names times rows,
+    with no matrix of names by names.
     """
     import numpy as np
 
     alpha, cov = np.asarray(alpha, float), np.asarray(cov, float)
     n = len(alpha)
-    a = np.vstack([np.eye(n), *[np.asarray(v, float)[None] for _, v in rows]])
+    many = np.array([np.asarray(v, float) for _, v in rows]).reshape(len(rows), n)
     low = np.concatenate((np.asarray(lower, float), [b[0] for b in bounds]))
     high = np.concatenate((np.asarray(upper, float), [b[1] for b in bounds]))
     held = np.zeros(n) if held is None else np.asarray(held, float)
-    if found := conflicts(low, high, [(name, a[n + k]) for k, (name, _) in enumerate(rows)], gross, held, turnover):
+    if found := conflicts(low, high, [(name, many[k]) for k, (name, _) in enumerate(rows)], gross, held, turnover):
         raise Infeasible(", ".join(found[:3]))
     rho, sigma = 1.0, 1e-6
-    root = None
-    if volatility is not None:
-        values, vectors = np.linalg.eigh(cov)
-        root = vectors * np.sqrt(np.maximum(values, 0)) @ vectors.T
     charged = cost > 0 or borrow > 0
-    system = np.linalg.inv(risk * cov + sigma * np.eye(n) + rho * (a.T @ a + np.eye(n) * (1 + charged + (turnover is not None)) + (0 if root is None else root @ root)))
-    w, z, y = np.zeros(n), np.zeros(len(a)), np.zeros(len(a))
+    plain = sigma + rho * (2 + charged + (turnover is not None))
+    if cov.ndim == 1:
+        root = None if volatility is None else np.sqrt(np.maximum(cov, 0))
+        of_root = lambda v: root * v
+        # a diagonal and a few rows: the rows' part of the inverse is small
+        slim = 1 / (risk * cov + plain + (0 if root is None else rho * root * root))
+        inner = np.linalg.inv(np.eye(len(many)) / rho + (many * slim) @ many.T)
+        solve = lambda v: slim * (v - many.T @ (inner @ (many @ (slim * v))))
+    else:
+        root = None
+        if volatility is not None:
+            values, vectors = np.linalg.eigh(cov)
+            root = vectors * np.sqrt(np.maximum(values, 0)) @ vectors.T
+        of_root = lambda v: root @ v
+        system = np.linalg.inv(risk * cov + plain * np.eye(n) + rho * (many.T @ many + (0 if root is None else root @ root)))
+        solve = lambda v: system @ v
+    w, z, y = np.zeros(n), np.zeros(len(low)), np.zeros(len(low))
     g, u = np.zeros(n), np.zeros(n)
     h, q = np.zeros(n), np.zeros(n)  # the charged copy of w
     v, x = np.zeros(n), np.zeros(n)  # root w, within its ball
     b, p = held.copy(), np.zeros(n)  # the copy of w that is near held
     for _ in range(steps):
-        pull = alpha + sigma * w + a.T @ (rho * z - y) + rho * g - u
+        push = rho * z - y
+        pull = alpha + sigma * w + push[:n] + many.T @ push[n:] + rho * g - u
         if charged:
             pull = pull + rho * h - q
         if root is not None:
-            pull = pull + root @ (rho * v - x)
+            pull = pull + of_root(rho * v - x)
         if turnover is not None:
             pull = pull + rho * b - p
-        w = system @ pull
-        az = a @ w
+        w = solve(pull)
+        az = np.concatenate((w, many @ w))
         z_new = np.clip(az + y / rho, low, high)
         g_new = _onto_l1(w + u / rho, gross)
         y, u = y + rho * (az - z_new), u + rho * (w - g_new)
@@ -110,7 +124,7 @@ def optimise(alpha, cov, lower, upper, rows, bounds, gross: float, risk: float =
             p, done = p + rho * (w - b_new), max(done, np.abs(w - b_new).max(), np.abs(b_new - b).max())
             b = b_new
         if root is not None:
-            at = root @ w
+            at = of_root(w)
             v_new = at + x / rho
             v_new = v_new * min(1.0, volatility / max(np.linalg.norm(v_new), 1e-300))
             x, done = x + rho * (at - v_new), max(done, np.abs(at - v_new).max(), np.abs(v_new - v).max())
@@ -119,7 +133,8 @@ def optimise(alpha, cov, lower, upper, rows, bounds, gross: float, risk: float =
             break
     w = np.where(np.abs(w) < tolerance / 10, 0.0, w)
     names = [f"position_{k}" for k in range(n)] + [r[0] for r in rows] + ["gross", "volatility", "turnover"]
-    over = np.concatenate((np.maximum(low - a @ w, a @ w - high), [np.abs(w).sum() - gross, 0.0 if root is None else np.linalg.norm(root @ w) - volatility, 0.0 if turnover is None else np.abs(w - held).sum() - 2 * turnover]))
+    aw = np.concatenate((w, many @ w))
+    over = np.concatenate((np.maximum(low - aw, aw - high), [np.abs(w).sum() - gross, 0.0 if root is None else np.linalg.norm(of_root(w)) - volatility, 0.0 if turnover is None else np.abs(w - held).sum() - 2 * turnover]))
     if over.max() > 100 * tolerance:
         worst = sorted(zip(over, names), reverse=True)[:3]
         raise Infeasible(", ".join(f"{name} by {x:.3g}" for x, name in worst if x > 0))
@@ -208,7 +223,7 @@ def level3(df: DataFrame, by: list[str], key: str, score: str, cap: float, gross
             lower, upper = np.maximum(lower, now - each), np.minimum(upper, now + each)
         if hard_to_borrow:
             lower = np.where(pdf[hard_to_borrow].fillna(True).to_numpy(bool), np.maximum(lower, 0), lower)
-        cov = np.diag(pdf[variance].to_numpy(float)) if variance else np.eye(n)
+        cov = pdf[variance].to_numpy(float) if variance else np.ones(n)
         out = pd.DataFrame({c: pdf[c].to_numpy() for c in by} | {key: pdf[key].to_numpy()})
         try:
             if unknown:
