@@ -410,3 +410,51 @@ def test_covariances_pair_names_without_a_join(spark, monkeypatch):
     odd = spark.createDataFrame([(1, 1, 1.0), (2, 1, float("inf")), (3, 1, 2.0), (1, 2, 1.0), (3, 2, 5.0)], "d int, n long, r double")
     got = {(x.a, x.b): x["cov"] for x in portfolio.covariance(odd, "d", "n", "r").collect()}
     assert got[1, 1] != got[1, 1] and got[1, 2] == 2.0 and got[2, 2] == 8.0
+
+
+def test_covariances_on_disk_follow_names_not_pairs(spark, monkeypatch):
+    """Each name is written once, no copies are dealt out to pairs of blocks, and a pair's two rows come near each other."""
+    import random
+
+    import pyarrow as pa
+
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import portfolio
+
+    rng = random.Random(9)
+    rows = [(d, f"n{n}", rng.gauss(0, 1)) for n in range(150) for d in range(n % 3, 9)] + [(5, None, 1.0), (6, None, 3.0)]
+    df = spark.createDataFrame(rows, "d int, n string, r double")
+    kept = []
+    monkeypatch.setattr(portfolio, "materialised", lambda x, f=portfolio.materialised: kept.append(f(x)) or kept[-1], raising=False)
+    monkeypatch.setattr(portfolio, "NAMES", 7)
+    monkeypatch.setattr(portfolio, "VALUES", 40, raising=False)
+    out = portfolio.covariance(df, "d", "n", "r")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    blocks = [pa.ipc.open_stream(x.block).read_all() for x in kept[0].collect()]
+    names = [x for b in blocks for x in b.column("name").to_pylist()]
+    assert len(names) == len(set(names)) == 151 and max(b.num_rows for b in blocks) <= 7
+    assert all(sum(map(len, b.column("rows").to_pylist())) <= 40 for b in blocks) and max(x.nbytes for x in blocks) < 3_000
+    got = [(x.a, x.b, x["cov"]) for x in out.collect()]
+    x, y = df.select("d", F.col("n").alias("a"), F.col("r").alias("x")), df.select("d", F.col("n").alias("b"), F.col("r").alias("y"))
+    want = {(z.a, z.b): z.c for z in x.join(y, "d").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("c")).collect()}
+    assert len(got) == len(want) and all(abs(want[a, b] - c) < 1e-9 for a, b, c in got)
+    at = {(a, b): k for k, (a, b, _) in enumerate(got)}
+    assert max(abs(at[a, b] - at[b, a]) for a, b in at) < 7 * 7
+    none = portfolio.covariance(df.where("d is null"), "d", "n", "r")
+    assert none.collect() == [] and none.dtypes == out.dtypes
+
+
+def test_rounding_of_doubles_is_sparks(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tidemark.functions.finite import rounded
+
+    rng = random.Random(10)
+    rows = [rng.choice([1, -1]) * rng.random() * 10.0 ** rng.randint(-12, 20) for _ in range(20_000)]
+    rows += [s * (k + 0.5 + e) / 1e8 for k in range(2_000) for s in (1, -1) for e in (0.0, 1e-9, -1e-9, 2e-4, -2e-4)]
+    rows += [None, 0.0, -0.0, float("nan"), float("inf"), -float("inf"), -1e-10, 1.5e-8, 5e-324, 1.7e308]
+    df = spark.createDataFrame([(x,) for x in rows], "x double").select("x", rounded(F.col("x"), 8).alias("a"), F.round("x", 8).alias("b"))
+    assert [repr(x) for x in df.collect() if repr(x.a) != repr(x.b)] == []

@@ -27,3 +27,10 @@ def r6(v: Column) -> Column:
 def bins_below(edges: Column, x: Column) -> Column:
     """Number of edges strictly below x: the left-sided insertion place."""
     return F.size(F.filter(edges, lambda e: e < x))
+
+
+def rounded(c: Column, digits: int) -> Column:
+    """F.round of doubles, by way of decimals only where a tie is near, a value is large or not finite."""
+    q = c * 10.0**digits
+    plain = (F.abs(q) < 1e10) & (F.abs(q - F.rint(q)) < 0.4999)
+    return F.when(plain, F.rint(q) / 10.0**digits + 0.0).otherwise(F.round(c, digits))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import xsec
+from ..sources.store import materialised
 
 
 def level1(df: DataFrame, by: list[str], score: str, key: str, k: int, gross: float = 2.0) -> DataFrame:
@@ -236,17 +237,21 @@ def level3(df: DataFrame, by: list[str], key: str, score: str, cap: float, gross
     return df.groupBy(*by).applyInPandas(run, schema)
 
 
-NAMES = 2_000  # of a block at most, on average
-BLOCKS = 16  # that many, so that tasks are many, unless they had fewer than 100 names
-CELLS = 400_000  # pairs of names put out at once
+NAMES = 500  # of a block at most
+VALUES = 1 << 19  # of a block at most, unless one name has more
+CELLS = 100_000  # pairs of names worked on at once
 
 
 def covariance(returns: DataFrame, date: str, name: str, r: str, shrink: float = 0.0) -> DataFrame:
     """a, b, cov: sample covariance over common dates, off-diagonals shrunk towards 0.
 
-    Names are dealt into blocks, each pair of blocks is one task's matrix
-    products, and pairs of names leave it as results only: they are never
-    joined or shuffled. Pairs with a value that is not finite have NaN.
+    Names are packed into blocks, which are written once to the shared folder
+    when this is called. Each pair of blocks is read from there for its matrix
+    products, and pairs of names leave them as results only, so that disk
+    follows the rows of returns and not the pairs: neither names nor their
+    copies are dealt out to the pairs. Pairs with a value that is not finite
+    have NaN. A pair's two rows lie near each other, so that files hold its
+    value about once.
     """
     from collections.abc import Iterator
 
@@ -255,13 +260,36 @@ def covariance(returns: DataFrame, date: str, name: str, r: str, shrink: float =
     kind = returns.schema[name].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("_c", T.DoubleType())])
 
+    def pack(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def block(part):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(part)
+            return pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["block"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            most = -(-batch.num_rows // -(-batch.num_rows // NAMES))  # blocks of a size
+            lo = values = 0
+            for k, n in enumerate(pc.list_value_length(batch.column(1)).to_pylist()):
+                if k > lo and (k - lo == most or values + n > VALUES):
+                    yield block(batch.slice(lo, k - lo))
+                    lo, values = k, 0
+                values += n
+            yield block(batch.slice(lo))
+
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        def pairs(table):
-            i, j, side = (table.column(k).to_numpy() for k in ("i", "j", "side"))
+        def pairs(blocks):
+            tables = [pa.ipc.open_stream(x).read_all() for x in blocks]
+            table = pa.concat_tables(tables)
             names, rows = table.column("name").combine_chunks(), table.column("rows").combine_chunks()
             who, flat = pc.list_parent_indices(rows).to_numpy(), pc.list_flatten(rows)
             days = flat.field(0).dictionary_encode()
@@ -274,9 +302,9 @@ def covariance(returns: DataFrame, date: str, name: str, r: str, shrink: float =
             per = np.bincount(who, weights=known & whole, minlength=n)
             mean = np.bincount(who, weights=x, minlength=n) / np.maximum(per, 1)
             there, held, sums, odd = (np.bincount(at, weights=v, minlength=n * width).reshape(n, width) for v in (np.ones(len(x)), known, np.where(known & whole, x - mean[who], 0.0), ~whole))
-            left, right = np.flatnonzero(side == i[0]), np.flatnonzero(side == j[0])
-            step = max(1, CELLS // max(1, len(right)))
-            for lo in range(0, len(left) if len(right) else 0, step):
+            left, right = np.arange(tables[0].num_rows), np.arange(n - tables[-1].num_rows, n)
+            step = max(1, CELLS // len(right))
+            for lo in range(0, len(left), step):
                 u = left[lo : lo + step]
                 meet = there[u] @ there[right].T > 0
                 k = held[u] @ held[right].T
@@ -284,33 +312,24 @@ def covariance(returns: DataFrame, date: str, name: str, r: str, shrink: float =
                     c = (sums[u] @ sums[right].T - (sums[u] @ held[right].T) * (held[u] @ sums[right].T) / k) / (k - 1)
                 if not whole.all():
                     c[(odd[u] @ held[right].T + held[u] @ odd[right].T) > 0] = np.nan
-                a, b = np.nonzero(meet)
+                # a name's pairs, then the same pairs the other way round, unless the block meets itself
+                a, back, b = np.nonzero(np.stack([meet] * len(tables), 1))
+                one, two = u[a], right[b]
+                one, two = np.where(back, two, one), np.where(back, one, two)
                 c = pa.array(c[a, b], mask=k[a, b] < 2)
-                one, two = names.take(pa.array(u[a])), names.take(pa.array(right[b]))
-                yield pa.RecordBatch.from_arrays([one, two, c], names=["a", "b", "_c"])
-                if i[0] != j[0]:
-                    yield pa.RecordBatch.from_arrays([two, one, c], names=["a", "b", "_c"])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(one)), names.take(pa.array(two)), c], names=["a", "b", "_c"])
 
-        held: list = []  # rows of the pair of blocks that may go on in the next batch
         for batch in batches:
-            i, j = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = [0, *(np.flatnonzero((i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), len(i)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if held and (held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py()) != (i[lo], j[lo]):
-                    yield from pairs(pa.Table.from_batches(held))
-                    held = []
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield from pairs(pa.Table.from_batches(held))
+            i, one, j, two = batch.columns
+            for k in range(batch.num_rows):
+                blocks = [one[k].as_buffer()] if i[k] == j[k] else [one[k].as_buffer(), two[k].as_buffer()]
+                yield from pairs(blocks)
 
     known = returns.where(F.col(date).isNotNull())
     each = known.groupBy(F.col(name).alias("name")).agg(F.collect_list(F.struct(F.col(date).alias("d"), F.col(r).alias("x"))).alias("rows"))
-    count = known.select(name).distinct().agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.greatest(F.ceil(F.col("n") / NAMES), F.least(F.ceil(F.col("n") / 100), F.lit(BLOCKS))).cast("int")
-    dealt = each.crossJoin(F.broadcast(count.select(F.greatest(blocks, F.lit(1)).alias("blocks"))))
-    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
-    both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("side")).alias("i"), F.greatest(k, F.col("side")).alias("j")))
-    dealt = dealt.withColumn("ij", F.explode(both)).select("ij.i", "ij.j", "side", "name", "rows")
-    tasks = max(1, int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    c = dealt.repartition(tasks, "i", "j").sortWithinPartitions("i", "j").mapInArrow(run, schema)
+    blocks = materialised(each.mapInArrow(pack, "block binary").select(F.monotonically_increasing_id().alias("i"), "block"))
+    other = blocks.select(F.col("i").alias("j"), F.col("block").alias("other"))
+    i, j = F.col("i"), F.col("j")
+    once = (i == j) | ((i < j) == ((i + j) % 2 == 0))  # of two blocks, either comes first about as often, for even tasks
+    c = blocks.hint("shuffle_replicate_nl").join(other, once).mapInArrow(run, schema)
     return c.select("a", "b", F.when(F.col("a") == F.col("b"), F.col("_c")).otherwise((1 - shrink) * F.col("_c")).alias("cov"))

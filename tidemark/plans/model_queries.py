@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import xsec
-from ..functions.finite import r6
+from ..functions.finite import r6, rounded
 from ..operators import costs, folds, ledger, metrics, model, portfolio
 from .base import MONTHLY, RETURNS, SECTORS, Book, month_returns, monthly, sectors
 from .panel_queries import _RANKED, _SCORED, _scored, _wide
@@ -223,7 +223,7 @@ def book_exposure(spark, sf):
 def covariance_all(spark, sf):
     r = month_returns(spark, sf).where("fwd is not null")
     c = portfolio.covariance(r, "m", "security_id", "fwd", 0.5)
-    return c.where("cov is not null").select("a", "b", F.round("cov", 8).alias("cov"))
+    return c.where("cov is not null").select("a", "b", rounded(F.col("cov"), 8).alias("cov"))
 
 
 # -- costs and ledger ----------------------------------------------------------------
