@@ -421,12 +421,13 @@ def test_covariances_on_disk_follow_names_not_pairs(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     from tidemark.operators import portfolio
+    from tidemark.sources.store import materialised
 
     rng = random.Random(9)
     rows = [(d, f"n{n}", rng.gauss(0, 1)) for n in range(150) for d in range(n % 3, 9)] + [(5, None, 1.0), (6, None, 3.0)]
     df = spark.createDataFrame(rows, "d int, n string, r double")
     kept = []
-    monkeypatch.setattr(portfolio, "materialised", lambda x, f=portfolio.materialised: kept.append(f(x)) or kept[-1], raising=False)
+    monkeypatch.setattr(portfolio, "materialised", lambda x: kept.append(materialised(x)) or kept[-1], raising=False)
     monkeypatch.setattr(portfolio, "NAMES", 7)
     monkeypatch.setattr(portfolio, "VALUES", 40, raising=False)
     out = portfolio.covariance(df, "d", "n", "r")
